@@ -50,27 +50,15 @@ def _halos(read: DataFrame) -> DataFrame:
     return edge.groupBy(*LINE, "shard").agg(at("p1", "i = 1"), at("p2", "i = 1"), at("n1", "i = n"), at("n2", "i = n"))
 
 
-def _inner(h0: Column, h1: Column, s0: Column, s1: Column) -> Column:
-    w0, w1 = 2 * h1 + h0, h1 + 2 * h0
-    return F.when(s0 * s1 <= 0, F.lit(0.0)).otherwise((w0 + w1) / (w0 / s0 + w1 / s1))
+def _inner(h0: str, h1: str, s0: str, s1: str) -> Column:
+    """Slope at the reading between the intervals 0 and 1: zero at an extremum, else the weighted harmonic mean."""
+    return F.expr(f"CASE WHEN {s0} * {s1} <= 0 THEN 0D ELSE 3 * ({h0} + {h1}) / ((2 * {h1} + {h0}) / {s0} + ({h1} + 2 * {h0}) / {s1}) END")
 
 
-def _edge(h0: Column, h1: Column, s0: Column, s1: Column) -> Column:
-    d = ((2 * h0 + h1) * s0 - h0 * s1) / (h0 + h1)
-    return F.when(F.signum(d) != F.signum(s0), F.lit(0.0)).when((F.signum(s0) != F.signum(s1)) & (F.abs(d) > 3 * F.abs(s0)), 3 * s0).otherwise(d)
-
-
-def _cubic(x: Column, p0: str, p1: str, p2: str, p3: str) -> Column:
-    """Value at x between the readings p1 and p2; p0 and p3 are null where the segment ends."""
-    t = lambda p: F.col(f"{p}.t").cast("double") / 1e6
-    v = lambda p: F.col(f"{p}.v")
-    h, h0, h3 = t(p2) - t(p1), t(p1) - t(p0), t(p3) - t(p2)
-    s, s0, s3 = (v(p2) - v(p1)) / h, (v(p1) - v(p0)) / h0, (v(p3) - v(p2)) / h3
-    has0, has3 = F.col(p0).isNotNull(), F.col(p3).isNotNull()
-    d1 = F.when(has0, _inner(h0, h, s0, s)).when(has3, _edge(h, h3, s, s3)).otherwise(s)
-    d2 = F.when(has3, _inner(h, h3, s, s3)).when(has0, _edge(h, h0, s, s0)).otherwise(s)
-    u = (x.cast("double") / 1e6 - t(p1)) / h
-    return v(p1) * (1 + 2 * u) * (1 - u) * (1 - u) + h * d1 * u * (1 - u) * (1 - u) + v(p2) * u * u * (3 - 2 * u) + h * d2 * u * u * (u - 1)
+def _edge(h0: str, h1: str, s0: str, s1: str) -> Column:
+    """Slope at the outer end of interval 0, with 1 the next one inwards."""
+    d = f"(((2 * {h0} + {h1}) * {s0} - {h0} * {s1}) / ({h0} + {h1}))"
+    return F.expr(f"CASE WHEN signum{d} <> signum({s0}) THEN 0D WHEN signum({s0}) <> signum({s1}) AND abs{d} > 3 * abs({s0}) THEN 3 * {s0} ELSE {d} END")
 
 
 def regular_series(lines: DataFrame, graphs: DataFrame, max_gap: int = 5, shard_buckets: int = 2048) -> DataFrame:
@@ -96,17 +84,24 @@ def regular_series(lines: DataFrame, graphs: DataFrame, max_gap: int = 5, shard_
     r = r.withColumns({"q1": F.coalesce("l1", "h1"), "q0": F.when(first, F.col("h2")).when(F.col("i") == 2, F.col("h1")).otherwise(F.col("l2")), "q3": F.coalesce("r1", "k1"), "q2": F.col("p2"), "ends": last & F.col("k1").isNull()})
     near = lambda a, b: F.col(f"{b}.b") - F.col(f"{a}.b") - 1 <= max_gap
     r = r.withColumns({"q0": F.when(near("q0", "q1"), F.col("q0")), "q3": F.when(near("q2", "q3"), F.col("q3"))})
-    r = r.select(*LINE, "start_us", "step_us", "buckets", "q0", "q1", "q2", "q3", "ends")
-    span = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    r = r.where((F.col("q2.b") - F.coalesce(F.col("q1.b"), F.lit(-(2**62))) > 1) | F.col("ends"))
+    v, gone = (lambda q: F.col(f"{q}.v")), (lambda a, b: (F.col(f"{b}.t") - F.col(f"{a}.t")).cast("double") / 1e6)
+    r = r.select(*LINE, "start_us", "step_us", "buckets", "ends", F.col("q1.b").alias("b1"), F.col("q2.b").alias("b2"), F.col("q1.t").alias("t1"), v("q1").alias("v1"), v("q2").alias("v2"), *(gone(a, b).alias(f"h{k}") for k, (a, b) in enumerate((("q0", "q1"), ("q1", "q2"), ("q2", "q3")))), *((v(b) - v(a)).alias(f"d{k}") for k, (a, b) in enumerate((("q0", "q1"), ("q1", "q2"), ("q2", "q3")))))
+    span = lambda a, b: F.when(b >= a, F.sequence(a, b))
     zero, end = F.lit(0).cast("bigint"), F.col("buckets") - 1
-    before = F.when(F.col("q1").isNull(), span(zero, F.least(F.col("q2.b") - 1, end))).otherwise(span(F.greatest(F.col("q1.b") + 1, zero), F.least(F.col("q2.b") - 1, end)))
-    after = F.when(F.col("ends"), span(F.greatest(F.col("q2.b") + 1, zero), end)).otherwise(F.array().cast("array<bigint>"))
-    gap = r.where((F.col("q2.b") - F.coalesce(F.col("q1.b"), F.lit(-(2**62))) > 1) | F.col("ends"))
-    gap = gap.select("*", F.explode(F.array(F.struct(before.alias("bs"), F.lit(True).alias("between")), F.struct(after.alias("bs"), F.lit(False).alias("between")))).alias("x"))
-    gap = gap.select("*", F.explode("x.bs").alias("bucket"))
+    before = span(F.greatest(F.coalesce(F.col("b1") + 1, zero), zero), F.least(F.col("b2") - 1, end))
+    after = F.when(F.col("ends"), span(F.greatest(F.col("b2") + 1, zero), end))
+    fills = F.col("b1").isNotNull() & (F.col("b2") - F.col("b1") - 1 <= max_gap)
+    # the slopes are made between the two unnestings, each of which ends a stage of generated code
+    gap = r.select("*", F.explode(F.array(F.struct(before.alias("bs"), fills.alias("fills")), F.struct(after.alias("bs"), F.lit(False).alias("fills")))).alias("x"))
+    gap = gap.withColumns({f"s{k}": F.col(f"d{k}") / F.col(f"h{k}") for k in range(3)}).select("*", F.explode("x.bs").alias("bucket"))
+    left = F.when(F.col("s0").isNotNull(), _inner("h0", "h1", "s0", "s1")).when(F.col("s2").isNotNull(), _edge("h1", "h2", "s1", "s2")).otherwise(F.col("s1"))
+    right = F.when(F.col("s2").isNotNull(), _inner("h1", "h2", "s1", "s2")).when(F.col("s0").isNotNull(), _edge("h1", "h0", "s1", "s0")).otherwise(F.col("s1"))
     mid = F.col("start_us") + F.col("bucket") * F.col("step_us") + F.call_function("div", F.col("step_us"), F.lit(2))
-    value = F.when(F.col("x.between") & F.col("q1").isNotNull() & near("q1", "q2"), _cubic(mid, "q0", "q1", "q2", "q3"))
-    value = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    u = (mid - F.col("t1")).cast("double") / 1e6 / F.col("h1")
+    curve = F.transform(F.array(F.struct(u.alias("u"), left.alias("l"), right.alias("r"))), lambda x: F.col("v1") * (1 + 2 * x["u"]) * (1 - x["u"]) * (1 - x["u"]) + F.col("v2") * x["u"] * x["u"] * (3 - 2 * x["u"]) + F.col("h1") * x["u"] * (1 - x["u"]) * (x["l"] * (1 - x["u"]) - x["r"] * x["u"]))
+    value = F.transform(curve, lambda y: F.when(~F.isnan(y) & (F.abs(y) != float("inf")), y))
+    value = F.when(F.col("x.fills"), F.element_at(value, 1))
     missing = gap.select(*LINE, "bucket", F.lit(0).cast("bigint").alias("n_readings"), value.alias("value"))
     missing = missing.withColumn("status", F.when(F.col("value").isNotNull(), F.lit("filled")).otherwise(F.lit("absent")))
 
