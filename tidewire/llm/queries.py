@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.addresses import canonical_addr, unsigned_port
 from tidewire.functions.times import epoch_us, floor_div
-from tidewire.llm import heavylight, mixture, setsketch, tokens
+from tidewire.llm import heavylight, mixture, setsketch, subjects, tokens
 from tidewire.plans.problems import CANON
 from tidewire.sources.tables import table
 
@@ -84,7 +84,21 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(mixture.mixed(size, limits), limits)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_distinct, p1_overlap, p2_found, p2_frequent, p6_ids, p6_offsets, p7_found, p7_mix, p7_shares)}
+def p8_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, spoken, subjects, shares of every document."""
+    docs = table(spark, folder, "documents")
+    return subjects.classify(docs, subjects.fitted(docs, table(spark, folder, "subject_label"), table(spark, folder, "subject_area")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_subjects(spark, folder).select("doc_id", F.explode("subjects").alias("subject"))
+
+
+def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.composition(p8_subjects(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_distinct, p1_overlap, p2_found, p2_frequent, p6_ids, p6_offsets, p7_found, p7_mix, p7_shares, p8_found, p8_subjects, p8_composition)}
 
 _PORT = "CASE WHEN port < 0 THEN port + 65536 ELSE port END"
 ORACLE = {
