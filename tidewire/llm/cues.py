@@ -37,8 +37,10 @@ def _reencode(text: str, wrong: str) -> str | None:
 
 def repaired(text: str) -> str:
     """The text as it was before it was read with a wrong encoding, where that can be told; else the text itself."""
+    if text.isascii():
+        return text
     for _ in range(2):
-        if len(_GARBLED.findall(text)) * 400 < len(text) and not _GARBLED.search(text):
+        if not _GARBLED.search(text):
             break
         fixed = _reencode(text, "cp1252") or _reencode(text, "latin-1")
         if fixed is None:
@@ -46,7 +48,7 @@ def repaired(text: str) -> str:
         text = fixed
     if "вЂ" in text or "Р°" in text or "СЃ" in text:
         text = _reencode(text, "cp1251") or text
-    if len(_CYRILLIC_AS_LATIN.findall(text)) * 3 > 0.3 * sum(map(str.isalpha, text)) > 0:
+    if _CYRILLIC_AS_LATIN.search(text) and len(_CYRILLIC_AS_LATIN.findall(text)) * 3 > 0.3 * sum(map(str.isalpha, text)) > 0:
         try:
             text = text.encode("latin-1", "replace").decode("cp1251", "replace")
         except UnicodeError:

@@ -52,6 +52,7 @@ class Models:
     kinds: np.ndarray
     context: dict[str, int]
     share: float = 0.25
+    live: np.ndarray | None = None  # 1 for the classes that have a labelled text
 
     def word(self, word: str) -> np.ndarray:
         """Log likelihood by class."""
@@ -69,40 +70,46 @@ class Models:
         return out
 
 
-def fit_models(words: Sequence[str], weights: np.ndarray, subjects: Sequence[str]) -> tuple[Models, np.ndarray]:
-    """Models from weighted words (words x classes), and the words' log likelihoods under them."""
-    gram: dict[str, int] = {}
-    context: dict[str, int] = {}
-    at, owner, of, paths = [], [], [], []
-    for k, w in enumerate(words):
-        for ends in _grams(w):
-            for g in ends:
-                i = gram.setdefault(g, len(gram))
-                if i == len(of):
-                    of.append(context.setdefault(g[:-1], len(context)))
-                at.append(i)
+class Vocabulary:
+    """The n-grams of a set of words, indexed once for all rounds of a fit."""
+
+    def __init__(self, words: Sequence[str]):
+        self.words = len(words)
+        self.gram: dict[str, int] = {}
+        self.context: dict[str, int] = {}
+        of, owner, paths = [], [], []
+        for k, w in enumerate(words):
+            for ends in _grams(w):
+                path = []
+                for g in ends:
+                    i = self.gram.setdefault(g, len(self.gram))
+                    if i == len(of):
+                        of.append(self.context.setdefault(g[:-1], len(self.context)))
+                    path.append(i)
                 owner.append(k)
-            paths.append((k, [gram[g] for g in ends]))
-    weight = np.zeros((len(gram), weights.shape[1]))
-    np.add.at(weight, np.array(at, np.int64), weights[np.array(owner, np.int64)])
-    of = np.array(of, np.int64)
-    total, kinds = np.zeros((len(context), weights.shape[1])), np.zeros((len(context), weights.shape[1]))
-    np.add.at(total, of, weight)
-    np.add.at(kinds, of, np.minimum(weight, 1.0))
-    kinds = np.maximum(kinds, 0.5)
-    deepest = max((len(p) for _, p in paths), default=0)
-    rows = np.full((len(paths), deepest), -1)
-    for r, (_, p) in enumerate(paths):
-        rows[r, : len(p)] = p
-    prob = np.full((len(paths), weights.shape[1]), 1 / 400)
-    for d in range(deepest):
-        live = rows[:, d] >= 0
-        i = rows[live, d]
-        c = of[i]
-        prob[live] = (weight[i] + kinds[c] * prob[live]) / (total[c] + kinds[c])
-    score = np.zeros((len(words), weights.shape[1]))
-    np.add.at(score, np.array([k for k, _ in paths], np.int64), np.log(prob))
-    return Models(list(subjects), gram, weight, total, kinds, context), score
+                paths.append(path + [-1] * (ORDER - len(path)))
+        self.of, self.owner = np.array(of, np.int64), np.array(owner, np.int64)
+        self.paths = np.array(paths, np.int64).reshape(-1, ORDER)
+
+    def fit(self, weights: np.ndarray, subjects: Sequence[str]) -> tuple[Models, np.ndarray]:
+        """Models from weighted words (words x classes), and the words' log likelihoods under them."""
+        n = weights.shape[1]
+        weight, total, kinds = np.zeros((len(self.gram), n)), np.zeros((len(self.context), n)), np.zeros((len(self.context), n))
+        for d in range(ORDER):
+            live = self.paths[:, d] >= 0
+            np.add.at(weight, self.paths[live, d], weights[self.owner[live]])
+        np.add.at(total, self.of, weight)
+        np.add.at(kinds, self.of, np.minimum(weight, 1.0))
+        kinds = np.maximum(kinds, 0.5)
+        prob = np.full((len(self.paths), n), 1 / 400)
+        for d in range(ORDER):
+            live = self.paths[:, d] >= 0
+            i = self.paths[live, d]
+            c = self.of[i]
+            prob[live] = (weight[i] + kinds[c] * prob[live]) / (total[c] + kinds[c])
+        score = np.zeros((self.words, n))
+        np.add.at(score, self.owner, np.log(prob))
+        return Models(list(subjects), self.gram, weight, total, kinds, self.context), score
 
 
 def evidence(score: np.ndarray) -> np.ndarray:
@@ -127,17 +134,36 @@ def shared_out(score: np.ndarray, text: np.ndarray, n: int, allowed: np.ndarray
     for _ in range(rounds):
         r = like * prior[text]
         r /= r.sum(1, keepdims=True)
-        total = np.zeros((n, classes))
-        np.add.at(total, text, r)
-        prior = (total + 0.02) / (count + 0.02 * classes)
+        prior = (_grouped(r, text, n) + 0.02) / (count + 0.02 * classes)
         if allowed is not None:
             prior = np.maximum(prior * allowed, 1e-9)
     return r
 
 
-def _cues_of(text: str | None) -> list[list[str]]:
+class _Cues(dict):
+    """Distinct words of cues seen before, None of those without speech; starts anew when it is full."""
+
+    def __missing__(self, cue: str) -> tuple[str, ...] | None:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        w = cues.speech(cue)
+        out = None if w is None else tuple(dict.fromkeys(w))
+        if len(cue) <= 300:
+            self[cue] = out
+        return out
+
+
+_SPOKEN = _Cues()
+
+
+def _cues_of(text: str | None) -> list[tuple[str, ...]]:
     """The distinct words of each spoken cue."""
-    return [list(dict.fromkeys(w)) for c in cues.split_cues(cues.repaired(text)) if (w := cues.speech(c)) is not None] if text else []
+    return [w for c in cues.split_cues(cues.repaired(text)) if (w := _SPOKEN[c.strip()]) is not None] if text else []
+
+
+def _grouped(rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each owner."""
+    return np.stack([np.bincount(owner, rows[:, j], n) for j in range(rows.shape[1])], 1)
 
 
 def _sums(score: np.ndarray, spoken: list[list[int]]) -> np.ndarray:
@@ -146,17 +172,14 @@ def _sums(score: np.ndarray, spoken: list[list[int]]) -> np.ndarray:
         return np.zeros((0, score.shape[1]))
     flat = np.fromiter((i for c in spoken for i in c), np.int64)
     owner = np.repeat(np.arange(len(spoken)), [len(c) for c in spoken])
-    out = np.zeros((len(spoken), score.shape[1]))
-    np.add.at(out, owner, score[flat])
-    return out
+    return _grouped(score[flat], owner, len(spoken))
 
 
-def text_shares(score: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-    """Texts x subjects: the share of the spoken cues that each subject holds."""
+def text_shares(score: np.ndarray, text: np.ndarray, n: int, live: np.ndarray | None = None) -> np.ndarray:
+    """Texts x subjects: the share of the spoken cues that each subject holds; one without labelled texts (live 0) holds none."""
     if not len(score):
         return np.zeros((n, score.shape[1] - 1))
-    total = np.zeros((n, score.shape[1]))
-    np.add.at(total, text, shared_out(score, text, n))
+    total = _grouped(shared_out(score, text, n, None if live is None else np.broadcast_to(live, (n, len(live)))), text, n)
     return total[:, 1:] / np.maximum(np.bincount(text, minlength=n), 1)[:, None]
 
 
@@ -171,6 +194,10 @@ def train(texts: Sequence[str | None], labels: Sequence[set[str]], subjects: Seq
             spoken.append([word[w] for w in c])
             owner.append(k)
     words, owner = list(word), np.array(owner, np.int64)
+    vocabulary = Vocabulary(words)
+    live = np.zeros(len(subjects) + 1)
+    live[0] = 1
+    live[sorted({number[s] for ls in labels for s in ls if s in number})] = 1
     allowed = np.full((len(texts), len(subjects) + 1), STRAY)
     allowed[:, 0] = 1
     for k, ls in enumerate(labels):
@@ -184,13 +211,14 @@ def train(texts: Sequence[str | None], labels: Sequence[set[str]], subjects: Seq
     for _ in range(ROUNDS):
         weights = np.zeros((len(words), len(subjects) + 1))
         np.add.at(weights, flat, part[cue])
-        models, score = fit_models(words, weights, subjects)
+        models, score = vocabulary.fit(weights, subjects)
         score = evidence(score)
         sums = _sums(score, [spoken[c] for c in fit])
         part = shared_out(sums, owner[fit], len(texts), allowed, 3) if len(fit) else part
+    models.live = live
     held = np.flatnonzero(owner % HELD_OUT == 0)
     if len(held):
-        got = text_shares(_sums(score, [spoken[c] for c in held]), owner[held], len(texts))
+        got = text_shares(_sums(score, [spoken[c] for c in held]), owner[held], len(texts), live)
         asked = np.arange(len(texts)) % HELD_OUT == 0
         true = (allowed[asked][:, 1:] == 1)
         f1 = [2 * ((got[asked] >= s) & true).sum() / max(((got[asked] >= s).sum() + true.sum()), 1) for s in SHARES]
@@ -238,7 +266,7 @@ def classify(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "
                     owner.append(k)
             owner = np.array(owner, np.int64)
             table = evidence(np.array(scores)) if scores else np.zeros((0, len(m.subjects) + 1))
-            share = text_shares(_sums(table, spoken), owner, batch.num_rows)
+            share = text_shares(_sums(table, spoken), owner, batch.num_rows, m.live)
             names = [[m.subjects[j] for j in np.flatnonzero(row >= m.share)] for row in share]
             n = np.bincount(owner, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(share.tolist(), pa.list_(pa.float64()))], names=schema.names)
