@@ -156,4 +156,5 @@ def save(frames: DataFrame, folder: str, kind: str = "pcapng", interfaces: DataF
         if done:
             yield pa.RecordBatch.from_pylist(done, pa.schema([("path", pa.string()), ("frames", pa.int64()), ("bytes", pa.int64()), ("format", pa.string()), ("precision", pa.string()), ("notes", pa.list_(pa.string()))]))
 
-    return f.mapInArrow(run, "path string, frames bigint, bytes bigint, format string, precision string, notes array<string>")
+    report = "path string, frames bigint, bytes bigint, format string, precision string, notes array<string>"
+    return frames.sparkSession.createDataFrame(f.mapInArrow(run, report).collect(), report)  # a row per file
