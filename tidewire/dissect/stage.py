@@ -7,7 +7,8 @@ order of their first frames by counts per block of frame numbers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +33,26 @@ def as_raw(df: DataFrame, capture: str = "fixture") -> DataFrame:
     return raw.dropDuplicates(["capture_id", "number"])
 
 
-def _node_array(trees: list) -> pa.Array:
-    sizes = [len(t.field) for t in trees]
-    flat = {c: [v for t in trees for v in getattr(t, c)] for c in COLUMNS}
+def _node_array(trees: list, keep: frozenset[str] | None) -> pa.Array:
+    """The trees' nodes; of those in keep only, if it is given."""
+    if keep is None:
+        sizes, flat = [len(t.field) for t in trees], {c: [v for t in trees for v in getattr(t, c)] for c in COLUMNS}
+        at = [np.arange(n, dtype=np.int32) for n in sizes]
+    else:
+        at = [[i for i, f in enumerate(t.field) if f in keep] for t in trees]
+        sizes, flat = [len(i) for i in at], {c: [getattr(t, c)[i] for t, own in zip(trees, at) for i in own] for c in COLUMNS}
     kinds = {"field": pa.string(), "depth": pa.int32(), "source": pa.int32(), "start": pa.int32(), "end": pa.int32(), "u": pa.int64(), "b": pa.bool_(), "s": pa.string(), "a": pa.binary(), "text": pa.string()}
     flat["u"] = [v if v is None or v < 1 << 63 else v - (1 << 64) for v in flat["u"]]
-    idx = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if sizes else np.zeros(0, np.int32)
+    idx = np.concatenate([np.asarray(i, np.int32) for i in at]) if at else np.zeros(0, np.int32)
     cols = [pa.array(idx), *(pa.array(flat[c], kinds[c]) for c in COLUMNS)]
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.StructArray.from_arrays(cols, names=["idx", *COLUMNS]))
 
 
-def _emit(rows: list[tuple], made: list[layers.Context], ids: list[int | None]) -> pa.RecordBatch:
+def _emit(rows: list[tuple], made: list[layers.Context], ids: list[int | None], keep: frozenset[str] | None) -> pa.RecordBatch:
     experts = [None if x.expert is None else {"severity": x.expert[0], "grp": x.expert[1], "summary": x.expert[2]} for x in made]
     cols = [
         pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()), pa.array([r[5] for r in rows], pa.binary()),
-        pa.array(ids, pa.int64()), pa.array([[r[5] or b"", *x.sources] for r, x in zip(rows, made)], pa.list_(pa.binary())), _node_array([x.tree for x in made]), pa.array([x.protocols for x in made], pa.list_(pa.string())),
+        pa.array(ids, pa.int64()), pa.array([[r[5] or b"", *x.sources] for r, x in zip(rows, made)], pa.list_(pa.binary())), _node_array([x.tree for x in made], keep), pa.array([x.protocols for x in made], pa.list_(pa.string())),
         pa.array([x.src for x in made], pa.binary()), pa.array([x.dst for x in made], pa.binary()), pa.array([x.protocol for x in made]), pa.array([x.info for x in made]), pa.array(experts, pa.struct([("severity", pa.int32()), ("grp", pa.int32()), ("summary", pa.string())])),
     ]
     names = ["capture_id", "number", "link_type", "ts_ns", "orig_len", "bytes", "stream_id", "sources", "nodes", "protocols", "src", "dst", "protocol", "info", "expert"]
@@ -61,17 +67,19 @@ def _link(v: int | None) -> int:
     return -1 if v is None else v
 
 
-def dissect_stateless(raw: DataFrame, options: Options = Options()) -> DataFrame:
+def dissect_stateless(raw: DataFrame, options: Options = Options(), keep: Iterable[str] | None = None) -> DataFrame:
     """FRAME rows without what needs other frames: stream ids, sequence analysis, messages that span segments. Reassembled
-    datagrams are there if raw has the column `whole`."""
+    datagrams are there if raw has the column `whole`. keep: the fields wanted as nodes, all by default."""
+    keep = None if keep is None else frozenset(keep)
     columns = [*RAW, "whole"] if "whole" in raw.columns else list(RAW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # trees hold no cycles
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_FRAMES):
                 rows = list(_rows(whole.slice(at, BATCH_FRAMES)))
                 made = [layers.frame(r[5] or b"", _link(r[2]), r[1] or 0, r[3] or 0, r[4] or 0, options, whole=_whole(r[6]) if len(r) > 6 else None) for r in rows]
-                yield _emit(rows, made, [None] * len(rows))
+                yield _emit(rows, made, [None] * len(rows), keep)
 
     return raw.select(*columns).mapInArrow(run, FRAME)
 
@@ -104,7 +112,7 @@ def deep_frames(flat: DataFrame) -> DataFrame:
     """RAW, whole and FLOW of the frames that headers() cannot tell all of. Fragments meet their datagram, in order of
     number; whole is what reassembly says of each: STRUCT<state (whole, part, bad), value, why, parts>."""
     key = F.when(F.col("fragment"), F.concat("ip_src", "ip_dst", be(F.col("ip_id"), 2), be(F.col("ip_proto"), 1))).otherwise(be(F.pmod(F.xxhash64("number"), F.lit(1 << 32)), 8))
-    payload = F.when(F.col("fragment"), F.expr("substring(bytes, l3 + head + 1, greatest(l4_end - l3 - head, 0))"))
+    payload = F.when(F.col("fragment"), F.expr("substring(bytes, cast(l3 + head + 1 as int), cast(greatest(l4_end - l3 - head, 0) as int))"))
     f = flat.where("deep").select(*RAW, key.alias("__key"), F.when(F.col("fragment"), F.col("ip_frag")).alias("__frag"), payload.alias("__payload"))
     f = f.repartition("capture_id", "__key").sortWithinPartitions("capture_id", "__key", "number")
 
@@ -121,7 +129,10 @@ def deep_frames(flat: DataFrame) -> DataFrame:
                     if (capture, key) != at:
                         at, state = (capture, key), flow.Fragments()
                     whole = state.add((frag & 0x1FFF) * 8, bool(frag & 0x2000), payload or b"", number or 0, ts or 0)
-                ends = _ends(layers.frame(raw or b"", _link(link), number or 0, ts or 0, orig or 0, whole=whole))
+                if whole is not None and whole[0] != "whole":
+                    ends = (None,) * 4  # no transport header can be read yet
+                else:
+                    ends = _ends(layers.frame(raw or b"", _link(link), number or 0, ts or 0, orig or 0, whole=whole))
                 if whole is not None:
                     kind, value, parts = whole
                     whole = {"state": kind, "value": value if kind == "whole" else None, "why": value if kind == "bad" else None, "parts": [dict(zip(("frame", "at", "size"), p)) for p in parts] if kind == "whole" else []}
@@ -135,7 +146,7 @@ def deep_frames(flat: DataFrame) -> DataFrame:
 def with_flows(raw: DataFrame) -> DataFrame:
     """RAW, whole (of fragments), src_end, dst_end, flow_proto, fresh: the stream endpoints of each frame, as the frame's
     sender saw them; of an ICMP error those it quotes. Null where there is no TCP or UDP header under an IP header."""
-    flat = headers(raw.select(*RAW))
+    flat = headers(raw.select(*RAW), ("deep", "fragment", "ip_src", "ip_dst", "ip6_src", "ip6_dst", "ip_id", "ip_proto", "ip_frag", "l3", "head", "l4_end", "proto", "tcp_src", "tcp_dst", "udp_src", "udp_dst", "tcp_syn", "tcp_ackf"))
     pad = lambda v4, v6: F.coalesce(F.concat(F.col(v4), F.lit(bytes(12))), F.col(v6))
     end = lambda side: F.struct(pad(f"ip_{side}", f"ip6_{side}").alias("addr"), F.col(f"ip6_{side}").isNotNull().alias("v6"), F.coalesce(f"tcp_{side}", f"udp_{side}").alias("port"))
     has = F.coalesce("tcp_src", "udp_src").isNotNull()
@@ -161,17 +172,20 @@ def with_streams(flows: DataFrame) -> DataFrame:
     return got.unionByName(f.where(~has).withColumn("stream_id", F.lit(None).cast("bigint")))
 
 
-def dissect(raw: DataFrame, options: Options = Options()) -> DataFrame:
+def dissect(raw: DataFrame, options: Options = Options(), keep: Iterable[str] | None = None) -> DataFrame:
     """FRAME rows, complete: with stream ids, sequence analysis, reassembled datagrams and messages that span segments.
 
     raw: RAW columns, one row per frame; number orders the frames of a capture. Null or empty bytes give a frame without
-    layers, a null link type is unknown data. No order is promised; sort by number where it matters.
+    layers, a null link type is unknown data. No order is promised; sort by number where it matters. keep: the fields wanted
+    as nodes, all by default.
     """
+    keep = None if keep is None else frozenset(keep)
     f = with_streams(with_flows(raw)).select(*RAW, "whole", "stream_id")
     spread = F.coalesce("stream_id", -1 - F.pmod(F.xxhash64("number"), F.lit(4096)))
     f = f.withColumn("__at", spread).repartition("capture_id", "__at").sortWithinPartitions("capture_id", "__at", "number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # trees hold no cycles
         at, state = None, None
         for whole in batches:
             for lo in range(0, whole.num_rows, BATCH_FRAMES):
@@ -182,7 +196,7 @@ def dissect(raw: DataFrame, options: Options = Options()) -> DataFrame:
                         at, state = (r[0], stream_id), flow.Stream()
                     made.append(layers.frame(r[5] or b"", _link(r[2]), r[1] or 0, r[3] or 0, r[4] or 0, options, None if stream_id is None else state, stream_id, _whole(r[6])))
                     ids.append(stream_id)
-                yield _emit(rows, made, ids)
+                yield _emit(rows, made, ids, keep)
 
     return f.mapInArrow(run, FRAME)
 

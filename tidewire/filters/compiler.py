@@ -140,11 +140,11 @@ def displayed(raw: DataFrame, text: str, options: Options = Options()) -> DataFr
     if e is None:
         return raw
     if flat is not None and not any(n.startswith("frame.") for n in field_names(e)):
-        h = headers(raw)
+        h = headers(raw, {"deep", "fragment", "ip_src", "ip_dst", "ip_id", "ip_proto", "ip_frag", "l3", "head", "l4_end"} | {c for n in field_names(e) for c in (PROMOTED.get(n), PRESENT.get(n)) if c})
         plain = h.where(~F.col("deep") & flat).select(*stage.RAW)
-        deep = stage.dissect_stateless(stage.deep_frames(h), options)
+        deep = stage.dissect_stateless(stage.deep_frames(h), options, field_names(e))
         return plain.unionByName(deep.where(compile_filter(text)).select(*stage.RAW))
     stateful = any(n == s or n.startswith(f"{s}.") for n in field_names(e) for s in STATEFUL)
-    frames = stage.dissect(raw, options) if stateful else stage.dissect_stateless(raw, options)
+    frames = (stage.dissect if stateful else stage.dissect_stateless)(raw, options, field_names(e))
     return frames.where(compile_filter(text)).select(*stage.RAW)
 

@@ -32,8 +32,8 @@ def _end(addr: Column, port: Column | None = None) -> Column:
 
 def packets(raw: DataFrame, layer: str) -> DataFrame:
     """capture_id, number, ts_ns, orig_len, src, dst of the frames that have the layer (eth, ip, tcp, udp), from the outer headers."""
-    h = headers(raw)
-    src, dst = {"eth": ("eth_src", "eth_dst")}.get(layer, (None, None))
+    h = headers(raw, {"eth": ("eth_src", "eth_dst")}.get(layer, ("ip_src", "ip_dst", "ip6_src", "ip6_dst", f"{layer}_src", f"{layer}_dst")))
+    src, dst = "eth_src", "eth_dst"
     if layer == "eth":
         a, b, has = _end(F.col(src)), _end(F.col(dst)), F.col(src).isNotNull()
     else:

@@ -126,8 +126,9 @@ def frame_projection(spark: SparkSession, folder: str) -> DataFrame:
 
 def tree_projection(spark: SparkSession, folder: str) -> DataFrame:
     """The same facts from the full tree: one row per frame, from the exploded fields."""
-    f = stage.fields(stage.dissect_stateless(event_frames(spark, folder))).where(F.col("field").isin("udp.srcport", "udp.dstport", "udp.length", "ip.id", "data.len"))
-    return f.groupBy("number").pivot("field", ["udp.srcport", "udp.dstport", "udp.length", "ip.id", "data.len"]).agg(F.max("u")).toDF("number", "udp_src", "udp_dst", "udp_length", "ip_id", "data_len")
+    wanted = ["udp.srcport", "udp.dstport", "udp.length", "ip.id", "data.len"]
+    f = stage.fields(stage.dissect_stateless(event_frames(spark, folder), keep=wanted))
+    return f.groupBy("number").pivot("field", wanted).agg(F.max("u")).toDF("number", "udp_src", "udp_dst", "udp_length", "ip_id", "data_len")
 
 
 def _talks(p: DataFrame, show) -> DataFrame:
@@ -158,7 +159,7 @@ def _small(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hierarchy(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.hierarchy(stage.dissect(_small(spark, folder))).select("path", "depth", "packets", "bytes", "end_packets", "end_bytes")
+    return reports.hierarchy(stage.dissect(_small(spark, folder), keep=())).select("path", "depth", "packets", "bytes", "end_packets", "end_bytes")
 
 
 def hierarchy_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,7 +169,7 @@ def hierarchy_totals(spark: SparkSession, folder: str) -> DataFrame:
 def _graph(unit: str, interval: float, name: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         series, _ = reports.series_predicates([("all_frames", ""), ("clicks", "udp.dstport == 9000"), ("broken", "udp.dstport ==")], flat_filter)
-        return reports.io_graph(headers(event_frames(spark, folder)), series, interval, unit).drop("capture_id")
+        return reports.io_graph(headers(event_frames(spark, folder), ("udp_dst",)), series, interval, unit).drop("capture_id")
 
     query.__name__ = name
     return query
@@ -180,14 +181,14 @@ def stream_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def follow_stream(spark: SparkSession, folder: str) -> DataFrame:
-    h = headers(order_frames(spark, folder)).where("tcp_src is not null")
-    s = h.select("capture_id", F.hex("ip_src").alias("stream_id"), F.lit(0).alias("side"), "number", F.col("tcp_seq").alias("seq"), F.expr("substring(bytes, l4 + tcp_hdr + 1, tcp_len)").alias("payload"))
+    h = headers(order_frames(spark, folder), ("tcp_src", "ip_src", "tcp_seq", "l4", "tcp_hdr", "tcp_len")).where("tcp_src is not null")
+    s = h.select("capture_id", F.hex("ip_src").alias("stream_id"), F.lit(0).alias("side"), "number", F.col("tcp_seq").alias("seq"), F.expr("substring(bytes, cast(l4 + tcp_hdr + 1 as int), cast(tcp_len as int))").alias("payload"))
     return reports.follow(s).groupBy("stream_id").agg(F.count("*").alias("segments"), F.sum(F.length("bytes")).cast("bigint").alias("size"), F.sum("gap").cast("bigint").alias("missing"))
 
 
 def colour_claims(spark: SparkSession, folder: str) -> DataFrame:
     rules = [("broken", "udp.dstport =="), ("errors", "udp.dstport == 9001"), ("low", "ip.src == 10.0.0.0/26"), ("rest", "udp && ip.ttl == 64")]
-    return headers(event_frames(spark, folder)).select("number", reports.colour(rules, flat_filter).alias("rule"))
+    return headers(event_frames(spark, folder), ("udp_src", "udp_dst", "ip_src", "ip_ttl")).select("number", reports.colour(rules, flat_filter).alias("rule"))
 
 
 def find_next(spark: SparkSession, folder: str) -> DataFrame:
@@ -222,31 +223,31 @@ def export_marked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dns_qry_name(spark: SparkSession, folder: str) -> DataFrame:
-    f = stage.fields(stage.dissect_stateless(query_frames(spark, folder)))
-    return f.where("field = 'dns.qry.name'").select("number", F.col("s").alias("name"))
+    f = stage.fields(stage.dissect_stateless(query_frames(spark, folder), keep=["dns.qry.name"]))
+    return f.select("number", F.col("s").alias("name"))
 
 
 def http_host_uri(spark: SparkSession, folder: str) -> DataFrame:
     """Requests that span two segments, put together."""
-    f = stage.fields(stage.dissect(request_frames(spark, folder))).where("field in ('http.host', 'http.request.uri')")
+    f = stage.fields(stage.dissect(request_frames(spark, folder), keep=["http.host", "http.request.uri"]))
     return f.groupBy("number").pivot("field", ["http.host", "http.request.uri"]).agg(F.max("s")).toDF("number", "host", "uri")
 
 
 def reassembly(spark: SparkSession, folder: str) -> DataFrame:
     """Datagrams put together from their fragments: the frame that completed them, and their text."""
-    d = stage.dissect(fragment_frames(spark, folder)).where(compile_filter("ip.fragments && udp.dstport == 2222"))
+    d = stage.dissect(fragment_frames(spark, folder), keep=["ip.fragments", "udp.dstport"]).where(compile_filter("ip.fragments && udp.dstport == 2222"))
     return d.select("number", F.decode(F.expr("substring(sources[1], 9)"), "UTF-8").alias("payload"))
 
 
 def frame_protocols(spark: SparkSession, folder: str) -> DataFrame:
     """Protocol chains of the fixtures' frames."""
-    f = stage.dissect_stateless(stage.as_raw(table(spark, folder, "fixture_frame")))
+    f = stage.dissect_stateless(stage.as_raw(table(spark, folder, "fixture_frame")), keep=())
     return f.groupBy(F.array_join("protocols", ":").alias("protocols")).agg(F.count("*").alias("frames"))
 
 
 def fixture_ports(spark: SparkSession, folder: str) -> DataFrame:
     """Frames per link type and IP protocol of the fixtures, from header columns."""
-    h = headers(stage.as_raw(table(spark, folder, "fixture_frame")))
+    h = headers(stage.as_raw(table(spark, folder, "fixture_frame")), ("ip_src", "ip_proto"))
     return h.where("ip_src is not null").groupBy("ip_proto").agg(F.count("*").alias("frames"), F.sum("orig_len").alias("bytes"))
 
 

@@ -39,7 +39,7 @@ def traffic(raw: DataFrame, interval: str = "1 second", late: str = "10 seconds"
 
 def talkers(raw: DataFrame) -> DataFrame:
     """Packets and bytes per IP pair so far (update mode)."""
-    h = headers(raw)
+    h = headers(raw, ("ip_src", "ip_dst", "ip6_src", "ip6_dst"))
     a, b = F.coalesce("ip_src", "ip6_src"), F.coalesce("ip_dst", "ip6_dst")
     h = h.where(a.isNotNull()).select("capture_id", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "orig_len")
     return h.groupBy("capture_id", F.hex("a").alias("a"), F.hex("b").alias("b")).agg(F.count("*").alias("packets"), F.sum("orig_len").alias("bytes"))
@@ -49,7 +49,7 @@ def segments(raw: DataFrame) -> DataFrame:
     """capture_id, number, ts, ts_ns, a and b (the stream's ends as text, sorted), sender and the TCP header's numbers."""
     h = headers(raw).where("not deep and tcp_hdr is not null")
     end = lambda s: F.concat_ws("/", F.hex(F.coalesce(f"ip_{s}", f"ip6_{s}")), F.lpad(F.col(f"tcp_{s}").cast("string"), 5, "0"))
-    opts = F.expr("substring(bytes, l4 + 21, greatest(tcp_hdr - 20, 0))")
+    opts = F.expr("substring(bytes, cast(l4 + 21 as int), cast(greatest(tcp_hdr - 20, 0) as int))")
     return h.select("capture_id", "number", F.timestamp_micros(F.expr("ts_ns div 1000")).alias("ts"), "ts_ns", F.least(end("src"), end("dst")).alias("a"), F.greatest(end("src"), end("dst")).alias("b"), end("src").alias("sender"), F.col("tcp_seq").alias("seq"), F.col("tcp_ack").alias("ack"), F.col("tcp_len").alias("size"), F.col("tcp_window").alias("win"), F.col("tcp_flags").alias("flags"), opts.alias("options"))
 
 
