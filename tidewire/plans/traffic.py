@@ -270,7 +270,7 @@ _HEXU = "lower(substr(printf('%04X', user_id), 1, 2)) || ':' || lower(substr(pri
 
 
 def _graph_sql(unit: str, interval: float) -> str:
-    value = {"packets": "1.0", "bytes": "CAST(n AS DOUBLE)", "bits": f"n * 8 / CAST({interval} AS DOUBLE)"}[unit]
+    value = {"packets": "CAST(1 AS DOUBLE)", "bytes": "CAST(n AS DOUBLE)", "bits": f"n * 8 / CAST({interval} AS DOUBLE)"}[unit]
     return f"""WITH e AS (SELECT event_id, {_T} AS t, 42 + {_P} AS n, epoch_us(ts) * 1000 AS ns FROM events),
 s AS (SELECT arg_min(ns, event_id) AS start, arg_max(ns, event_id) AS stop FROM e),
 n AS (SELECT start, least(greatest(CAST(floor((stop - start) / 1e9 / {interval}) AS BIGINT), 0) + 1, {reports.MOST_BUCKETS}) AS many FROM s),
