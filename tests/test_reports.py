@@ -129,3 +129,32 @@ def test_texts(spark):
         assert r.got == ip6_text(bytes(r.b)), r
     r = spark.range(1).select(text.mac_text(F.lit(P.MAC_A)).alias("m"), text.hex_line(F.lit(b"GET \x00\xff"), 0).alias("h"), text.byte_size(F.lit(1500)).alias("s"), text.percent(F.lit(1), F.lit(0)).alias("p"), text.number_text(F.lit(10), "hexdec", 2).alias("n"), text.sequence_offset(F.lit(5), F.lit(2**32 - 5)).alias("q")).first()
     assert r.m == "00:11:22:33:44:55" and r.h.startswith("00000000  47 45 54 20 00 ff") and r.h.endswith("GET ..") and (r.s, r.p, r.n, r.q) == ("1.5 kB", "—", "0x000a (10)", 10)
+
+
+def test_numbers_and_counters(spark, monkeypatch):
+    monkeypatch.setattr(reports, "BLOCK", 4)
+    df = spark.createDataFrame([("c", n) for n in (3, 5, 9, 10, 40)] + [("d", 7)], "capture_id string, number bigint").withColumn("was", F.col("number"))
+    assert sorted((r.capture_id, r.was, r.number) for r in reports.renumbered(df).collect()) == [("c", 3, 1), ("c", 5, 2), ("c", 9, 3), ("c", 10, 4), ("c", 40, 5), ("d", 7, 1)]
+    assert {r.capture_id: r.number for r in reports.row_at_or_after(df, 6).collect()} == {"c": 9, "d": 7}
+    d = spark.createDataFrame([("c", [(5, 2, None), (None, 1, 4)])], "capture_id string, interfaces array<struct<received:bigint,dropped:bigint,os_dropped:bigint>>")
+    assert tuple(reports.capture_counters(d).first()) == ("c", 5, 3, 4)
+
+
+def test_details_and_navigation(frames):
+    from tidewire.dissect import labels
+
+    r = labels.details(frames.where("number = 3")).first()
+    assert any("Destination: 66:77:88:99:aa:bb" in x or "66:77:88:99:aa:bb" in x for x in r.lines) and any("TCP (6)" in x for x in r.lines) and "  GET /a HTTP/1.1" in [x[2:] if x.startswith("    ") else x for x in r.lines] + r.lines
+    f = frames.where("number = 3").select(labels.roots(F.col("nodes")).alias("roots"), F.expr("filter(nodes, n -> n.field = 'ip')[0].idx").alias("ip"), "nodes")
+    x = f.select("roots.field", labels.children(F.col("nodes"), F.col("ip")).alias("kids"), labels.subtree_end(F.col("nodes"), F.col("ip")).alias("end"), labels.innermost_at(F.col("nodes"), F.lit(0), F.lit(30)).alias("at"), "ip", "nodes").first()
+    assert x.field[0] == "frame" and "ip.src" in [k.field for k in x.kids] and "ip.flags.df" not in [k.field for k in x.kids]
+    assert x.nodes[x.end].field == "tcp" and x["at"].field == "ip.dst"
+
+
+def test_filter_bar():
+    from tidewire.filters.bar import FilterBar
+
+    b = FilterBar()
+    assert b.edit("tcp") == "ready" and b.apply() and b.state == "applied"
+    assert b.edit("tcp &&") == "invalid" and not b.apply() and b.applied == "tcp" and b.error.column == 6
+    assert b.edit("  ") == "empty" and b.apply() and b.applied == ""

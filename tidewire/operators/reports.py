@@ -268,3 +268,25 @@ def payloads(frames: DataFrame) -> DataFrame:
     pick = lambda name: F.get(F.filter("nodes", lambda n: n["field"] == name), F.lit(0))
     p = F.coalesce(pick("tcp.payload"), pick("udp.payload"))
     return frames.where(p.isNotNull()).select("capture_id", "stream_id", F.struct("src", F.coalesce(pick("tcp.srcport"), pick("udp.srcport"))["u"].alias("port")).alias("side"), "number", pick("tcp.seq")["u"].alias("seq"), F.substring(F.get("sources", p["source"]), p["start"] + 1, p["end"] - p["start"]).alias("payload"))
+
+
+def renumbered(frames: DataFrame, order: str = "number") -> DataFrame:
+    """Numbers 1, 2, ... per capture in the given order, without gaps; counts per block, then ranks within blocks."""
+    f = frames.withColumn("__block", F.expr(f"{order} div {BLOCK}"))
+    n = f.groupBy("capture_id", "__block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("capture_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.select("capture_id", "__block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    rank = F.row_number().over(Window.partitionBy("capture_id", "__block").orderBy(order))
+    return f.withColumn("__rank", rank).join(n, ["capture_id", "__block"]).withColumn("number", F.col("__base") + F.col("__rank")).drop("__block", "__base", "__rank")
+
+
+def row_at_or_after(frames: DataFrame, number: int) -> DataFrame:
+    """capture_id, number of the first frame with at least this number."""
+    return frames.where(F.col("number") >= number).groupBy("capture_id").agg(F.min("number").alias("number"))
+
+
+def capture_counters(described: DataFrame) -> DataFrame:
+    """capture_id, received, dropped (by the capture and by the system) over the interfaces of capture files."""
+    i = described.select("capture_id", F.explode("interfaces").alias("i"))
+    n = lambda c: F.coalesce(F.sum(f"i.{c}"), F.lit(0))
+    return i.groupBy("capture_id").agg(n("received").alias("received"), n("dropped").alias("dropped"), n("os_dropped").alias("os_dropped"))
