@@ -80,23 +80,23 @@ def brute_series(points, buckets, step, max_gap):
     at = {}
     for t, v in points:
         at.setdefault(t, []).append(v)
-    read = sorted((t, sum(v) / len(v)) for t, v in at.items())
     segments, by = [], {}
-    for t, v in read:
-        b = t // step
-        by.setdefault(b, []).append(v)
-        if segments and b - segments[-1][-1][0] // step - 1 <= max_gap:
-            segments[-1].append((t, v))
+    for t, v in at.items():
+        by.setdefault(t // step, []).append((t, sum(v) / len(v)))
+    for b in sorted(by):
+        knot = (b, sum(t for t, _ in by[b]) // len(by[b]), sum(v for _, v in by[b]) / len(by[b]))
+        if segments and b - segments[-1][-1][0] - 1 <= max_gap:
+            segments[-1].append(knot)
         else:
-            segments.append([(t, v)])
+            segments.append([knot])
     out = {}
     for b in range(buckets):
         if b in by:
-            out[b] = (len(by[b]), sum(by[b]) / len(by[b]), "read")
+            out[b] = (len(by[b]), sum(v for _, v in by[b]) / len(by[b]), "read")
             continue
         mid = b * step + step // 2
-        inside = [s for s in segments if s[0][0] < mid < s[-1][0]]
-        out[b] = (0, pchip([t / 1e6 for t, _ in inside[0]], [v for _, v in inside[0]], mid / 1e6), "filled") if inside else (0, None, "absent")
+        inside = [s for s in segments if s[0][0] < b < s[-1][0]]
+        out[b] = (0, pchip([t / 1e6 for _, t, _ in inside[0]], [v for _, _, v in inside[0]], mid / 1e6), "filled") if inside else (0, None, "absent")
     return out
 
 

@@ -1,9 +1,10 @@
 """Irregular readings onto a regular grid.
 
-Fragments are unnested to readings, readings are spread over (graph, line, time shard), and each shard gets two halo
-readings of either side, so that every gap is filled by a monotone cubic (Fritsch-Carlson slopes, the interior slopes
-weighted by the interval lengths) exactly as over the whole line. A line of any length is thus never held by one task;
-only its shards' four edge readings meet in a window.
+Fragments are unnested to readings, the readings of a bucket become one knot (their mean value at their mean time), knots
+are spread over (graph, line, time shard), and each shard gets two halo knots of either side, so that every gap is filled
+by a monotone cubic (Fritsch-Carlson slopes, the interior slopes weighted by the interval lengths) exactly as over the
+whole line. A line of any length is thus never held by one task;
+only its shards' four edge knots meet in a window.
 """
 
 from __future__ import annotations
@@ -26,16 +27,19 @@ def grids(graphs: DataFrame) -> DataFrame:
 
 
 def readings(lines: DataFrame, grid: DataFrame, shard_buckets: int) -> DataFrame:
-    """graph_id, line_no, start_us, step_us, buckets, shard, b, t, v: one row per line and instant, spread by shard. Readings
-    that are null or NaN, fragments without ts or points, and lines outside the graph's series are no readings; several
-    readings of one instant count as their mean."""
+    """graph_id, line_no, start_us, step_us, buckets, b, n, v, t, shard: one row per line and bucket with readings, spread by
+    shard; n instants, their mean value and mean time. Readings that are null or NaN, fragments without ts or points, and
+    lines outside the graph's series are no readings; several readings of one instant count as their mean."""
     f = lines.select("graph_id", F.col("line_no").cast("bigint").alias("line_no"), epoch_us(lines, "ts").alias("ts_us"), "points").where("ts_us is not null and points is not null")
     f = f.join(grid, "graph_id").where("line_no >= 0 and line_no < n_lines")
     r = f.select(*LINE, "start_us", "step_us", "buckets", "ts_us", F.posexplode("points").alias("i", "v")).where("v is not null and not isnan(v)")
     r = r.withColumn("t", F.col("ts_us") + F.col("i") * F.col("step_us"))
     r = r.withColumn("b", floor_div(F.col("t") - F.col("start_us"), F.col("step_us")))
-    r = r.withColumn("shard", floor_div(F.col("b"), F.lit(shard_buckets).cast("bigint")))
-    return r.repartition(*LINE, "shard").groupBy(*LINE, "shard", "start_us", "step_us", "buckets", "b", "t").agg(F.avg("v").alias("v"))
+    # instants meet on the whole key and buckets combine on the map side: a line of any number of readings is spread evenly
+    r = r.groupBy(*LINE, "start_us", "step_us", "buckets", "b", "t").agg(F.avg("v").alias("v"))
+    r = r.groupBy(*LINE, "start_us", "step_us", "buckets", "b").agg(F.count("*").alias("n"), F.avg("v").alias("v"), F.avg(F.col("t") - F.col("start_us")).alias("t"))
+    r = r.withColumn("t", F.col("start_us") + F.floor("t"))
+    return r.withColumn("shard", floor_div(F.col("b"), F.lit(shard_buckets).cast("bigint"))).repartition(*LINE, "shard")
 
 
 def _halos(read: DataFrame) -> DataFrame:
@@ -65,15 +69,14 @@ def regular_series(lines: DataFrame, graphs: DataFrame, max_gap: int = 5, shard_
     """graph_id, line_no, bucket, n_readings, value, status: one row for each bucket 0 .. buckets-1 of each line.
 
     status `read`: the bucket has readings (one per instant) and value is their mean. `filled`: no reading, but the gap
-    between the readings around it spans at most max_gap buckets; value is the cubic at the middle of the bucket.
+    between the buckets around it spans at most max_gap buckets; value is the cubic at the middle of the bucket.
     `absent`: value is null (a longer gap, before the first or after the last reading, no readings, infinite neighbours).
     Readings outside the grid are no rows but do shape and bound the gaps at its ends. Empty tables give no rows; extra
     columns are ignored; null graph_id or line_no are no line.
     """
     grid = grids(graphs)
     read = readings(lines, grid, shard_buckets)
-    inside = read.where("b >= 0 and b < buckets").groupBy(*LINE, "shard", "b").agg(F.count("*").alias("n_readings"), F.avg("v").alias("value"))
-    seen = inside.select(*LINE, F.col("b").alias("bucket"), "n_readings", "value", F.lit("read").alias("status"))
+    seen = read.where("b >= 0 and b < buckets").select(*LINE, F.col("b").alias("bucket"), F.col("n").alias("n_readings"), F.col("v").alias("value"), F.lit("read").alias("status"))
 
     w = Window.partitionBy(*LINE, "shard").orderBy("t")
     r = read.withColumn("p2", F.struct("t", "b", "v"))

@@ -27,7 +27,7 @@ def _sweep(intervals: DataFrame, part: Sequence[str], gap_us: int) -> DataFrame:
     return d.where("d.delta = 1").withColumn("session", F.col("closed")).drop("d", "open", "closed")
 
 
-def sessions(events: DataFrame, keys: Sequence[str], time_us: str, item: str, gap_us: int, shard_us: int = 6 * 3600 * 1_000_000) -> DataFrame:
+def sessions(events: DataFrame, keys: Sequence[str], time_us: str, item: str, gap_us: int, shard_us: int = 900 * 1_000_000) -> DataFrame:
     """keys, start_us, end_us, duration_us, rows, items: the longest runs of a key's events in which no step exceeds gap_us.
 
     events: keys, time_us BIGINT, item (the distinct thing counted; an item repeated at one time counts once, a null item
