@@ -103,7 +103,14 @@ def local_encoder(path: str = VOCABULARY) -> Encoder:
     return _encoder(path)
 
 
-_MADE: dict[str, Encoder] = {}  # a worker's encoders by vocabulary
+_MADE: dict[str, Encoder] = {}  # a worker's encoders by vocabulary; their caches outlive its tasks
+
+
+def _of_worker(vocabulary: str, shared) -> Encoder:
+    """The worker's encoder. A function of the module, not of the task: what the task carries along would be new each time."""
+    if (encoder := _MADE.get(vocabulary)) is None:
+        encoder = _MADE[vocabulary] = Encoder(*shared.value)
+    return encoder
 
 
 def _grouped(texts: list[str]) -> Iterator[list[str]]:
@@ -134,8 +141,7 @@ def _mapped(df: DataFrame, text: str, keep: Sequence[str], schema: T.StructType,
     shared = df.sparkSession.sparkContext.broadcast((load_ranks(vocabulary), pretokens.class_runs()))  # a fixed vocabulary of some MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (encoder := _MADE.get(vocabulary)) is None:
-            encoder = _MADE[vocabulary] = Encoder(*shared.value)
+        encoder = _of_worker(vocabulary, shared)
         for batch in batches:
             done = 0
             for group in _grouped(_decoded(batch.column(len(keep)))):
