@@ -32,7 +32,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir names no shared folder")
         path = os.path.join(os.environ.get("TMPDIR", "/tmp"), "tidewire-checkpoints")
     sc.setCheckpointDir(path)
