@@ -42,9 +42,12 @@ def _node_array(trees: list, keep: frozenset[str] | None) -> pa.Array:
         at = [[i for i, f in enumerate(t.field) if f in keep] for t in trees]
         sizes, flat = [len(i) for i in at], {c: [getattr(t, c)[i] for t, own in zip(trees, at) for i in own] for c in COLUMNS}
     kinds = {"field": pa.string(), "depth": pa.int32(), "source": pa.int32(), "start": pa.int32(), "end": pa.int32(), "u": pa.int64(), "b": pa.bool_(), "s": pa.string(), "a": pa.binary(), "text": pa.string()}
-    flat["u"] = [v if v is None or v < 1 << 63 else v - (1 << 64) for v in flat["u"]]
+    try:
+        numbers = pa.array(flat["u"], pa.int64())
+    except (OverflowError, pa.ArrowInvalid):  # numbers of the upper half are stored as negative ones
+        numbers = pa.array([v if v is None or v < 1 << 63 else v - (1 << 64) for v in flat["u"]], pa.int64())
     idx = np.concatenate([np.asarray(i, np.int32) for i in at]) if at else np.zeros(0, np.int32)
-    cols = [pa.array(idx), *(pa.array(flat[c], kinds[c]) for c in COLUMNS)]
+    cols = [pa.array(idx), *(numbers if c == "u" else pa.array(flat[c], kinds[c]) for c in COLUMNS)]
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.StructArray.from_arrays(cols, names=["idx", *COLUMNS]))
 
 
