@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.dissect import stage
-from tidewire.functions.addresses import KEY, stream_key
+from tidewire.functions.addresses import KEY, canonical_endpoint, stream_key
 from tidewire.functions.times import epoch_us
 from tidewire.operators import reports, streams
 from tidewire.plans.problems import _K, _SEG
@@ -18,16 +18,16 @@ def _segments(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct segments with canonical keys."""
     t = table(spark, folder, "stream_segment")
     us = epoch_us(t, "ts")
-    s = t.select(F.col("fixture").alias("capture_id"), "frame", F.when(us != 0, us).alias("ts_us"), *stream_key(F.col("lo"), F.col("hi"), F.col("proto")), "from_lo", F.col("lo.port").alias("stored_port"), F.col("lo.addr").alias("stored_addr"), "seq", "ack", F.col("payload_len").alias("size"), "win", F.coalesce("syn", F.lit(False)).alias("syn"), F.coalesce("fin", F.lit(False)).alias("fin"), F.coalesce("rst", F.lit(False)).alias("rst"), F.coalesce("ack_flag", F.lit(False)).alias("acks"), F.col("window_scale").alias("scale"), F.struct("lo", "hi").alias("ends"))
+    s = t.select(F.col("fixture").alias("capture_id"), "frame", F.when(us != 0, us).alias("ts_us"), *stream_key(F.col("lo"), F.col("hi"), F.col("proto")), "from_lo", F.col("lo.port").alias("stored_port"), F.col("lo.addr").alias("stored_addr"), "seq", "ack", F.col("payload_len").alias("size"), "win", F.coalesce("syn", F.lit(False)).alias("syn"), F.coalesce("fin", F.lit(False)).alias("fin"), F.coalesce("rst", F.lit(False)).alias("rst"), F.coalesce("ack_flag", F.lit(False)).alias("acks"), F.col("window_scale").alias("scale"), F.xxhash64(F.when(F.col("from_lo"), canonical_endpoint(F.col("lo"))).otherwise(canonical_endpoint(F.col("hi")))).alias("side"))
     return s.dropDuplicates(["capture_id", "frame"])
 
 
 def segment_findings(spark: SparkSession, folder: str) -> DataFrame:
-    """TCP findings of stream_segment: finding, severity, segments, streams."""
+    """TCP findings of stream_segment: finding, severity, segments, streams. The sender is told by its canonical endpoint, as
+    a stream's rows hold one address in several forms."""
     s = _segments(spark, folder).where("proto = 6")
     g = streams.generations(s, ["capture_id", *KEY])
-    g = g.withColumns({"stream": F.xxhash64(*KEY), "side": F.xxhash64(F.when(F.col("from_lo"), F.col("ends.lo")).otherwise(F.col("ends.hi")))})
-    f = streams.analyse(g)
+    f = streams.analyse(g.withColumn("stream", F.xxhash64(*KEY)))
     return f.groupBy("finding", "severity").agg(F.count("*").alias("segments"), F.count_distinct("capture_id", "stream", "generation").alias("streams"))
 
 
