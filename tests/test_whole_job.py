@@ -3,7 +3,13 @@
 import random
 from collections import Counter
 
-from tidewire.dissect import flow
+import packets as P
+import pytest
+from test_dissect import name
+
+from tidewire.dissect import flow, stage
+from tidewire.filters import compile_filter
+from tidewire.filters.compiler import displayed
 from tidewire.plans import segments
 
 SEGMENT = "fixture string, frame bigint, ts timestamp, lo struct<addr:binary,v6:boolean,port:int>, hi struct<addr:binary,v6:boolean,port:int>, proto int, from_lo boolean, seq bigint, ack bigint, payload_len bigint, win bigint, syn boolean, fin boolean, rst boolean, ack_flag boolean, window_scale int"
@@ -36,3 +42,18 @@ def test_segment_findings_of_mixed_address_forms(spark, tmp_path):
     spark.createDataFrame(rows, SEGMENT).write.parquet(str(tmp_path / "stream_segment.parquet"))
     got = {x.finding: x.segments for x in segments.segment_findings(spark, str(tmp_path)).collect()}
     assert {"lost_segment", "overlap"} <= set(said) and got == dict(said)
+
+
+def fragments(datagram, proto, ident, cut=24):
+    """The datagram as two frames, cut at a multiple of 8."""
+    return [P.eth(P.ip(datagram[:cut], proto, ident=ident, flags=0x2000)), P.eth(P.ip(datagram[cut:], proto, ident=ident, flags=cut // 8))]
+
+
+@pytest.mark.parametrize("text,numbers", [('dns.qry.name == "www.example.com"', [2, 5]), ("!dns", [1, 3, 4, 6, 7]), ("icmp.seq == 7", [6]), ('udp contains "example"', [2, 5]), ("frame.len > 0 && dns", [2, 5]), ("udp.checksum && !dns.qry.name", [7])])
+def test_displayed_meets_fragments(spark, text, numbers):
+    dns = P.udp(b"\x1a\x2b\x01\0\0\x01\0\0\0\0\0\0" + name("www.example.com") + b"\0\x01\0\x01", 5000, 53)
+    one, ping = fragments(dns, 17, 5), fragments(b"\x08\0\0\0\0\x01\0\x07" + b"p" * 40, 1, 6)
+    frames = [one[0], one[1], ping[1], fragments(dns, 17, 7)[0], P.eth(P.ip(dns, 17)), ping[0], P.eth(P.ip(P.udp(b"x", 9, 10), 17))]
+    raw = spark.createDataFrame(P.rows(frames), P.RAW)
+    got = lambda df: sorted(r.number for r in df.select("number").collect())
+    assert got(displayed(raw, text)) == numbers == got(stage.dissect(raw).where(compile_filter(text)))

@@ -146,6 +146,13 @@ def deep_frames(flat: DataFrame) -> DataFrame:
     return f.mapInArrow(run, f"capture_id string, number bigint, link_type int, ts_ns bigint, orig_len bigint, bytes binary, whole {WHOLE}, {FLOW}")
 
 
+def with_wholes(raw: DataFrame) -> DataFrame:
+    """RAW and whole: what reassembly says of each IPv4 fragment, null for other frames."""
+    flat = headers(raw.select(*RAW), ("deep", "fragment", "ip_src", "ip_dst", "ip_id", "ip_proto", "ip_frag", "l3", "head", "l4_end"))
+    plain = flat.where(~F.col("fragment")).select(*RAW, F.lit(None).cast(WHOLE).alias("whole"))
+    return plain.unionByName(deep_frames(flat.where("fragment")).select(*RAW, "whole"))
+
+
 def with_flows(raw: DataFrame) -> DataFrame:
     """RAW, whole (of fragments), src_end, dst_end, flow_proto, fresh: the stream endpoints of each frame, as the frame's
     sender saw them; of an ICMP error those it quotes. Null where there is no TCP or UDP header under an IP header."""

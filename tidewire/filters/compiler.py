@@ -133,7 +133,8 @@ def displayed(raw: DataFrame, text: str, options: Options = Options()) -> DataFr
     """RAW rows that the filter selects.
 
     Filters over header fields run in the JVM on the bytes, and only frames whose headers nest are dissected; others
-    dissect every frame, with the state of its flow where the filter asks for what depends on other frames.
+    dissect every frame, fragments with their datagram, and with the state of its flow where the filter asks for what
+    depends on other frames.
     """
     e, flat = parse(text), flat_filter(text)
     raw = raw.select(*stage.RAW)
@@ -145,6 +146,6 @@ def displayed(raw: DataFrame, text: str, options: Options = Options()) -> DataFr
         deep = stage.dissect_stateless(stage.deep_frames(h), options, field_names(e))
         return plain.unionByName(deep.where(compile_filter(text)).select(*stage.RAW))
     stateful = any(n == s or n.startswith(f"{s}.") for n in field_names(e) for s in STATEFUL)
-    frames = (stage.dissect if stateful else stage.dissect_stateless)(raw, options, field_names(e))
+    frames = stage.dissect(raw, options, field_names(e)) if stateful else stage.dissect_stateless(stage.with_wholes(raw), options, field_names(e))
     return frames.where(compile_filter(text)).select(*stage.RAW)
 
