@@ -10,6 +10,7 @@ from test_dissect import name
 from tidewire.dissect import flow, stage
 from tidewire.filters import compile_filter
 from tidewire.filters.compiler import displayed
+from tidewire.operators import reports
 from tidewire.plans import segments
 
 SEGMENT = "fixture string, frame bigint, ts timestamp, lo struct<addr:binary,v6:boolean,port:int>, hi struct<addr:binary,v6:boolean,port:int>, proto int, from_lo boolean, seq bigint, ack bigint, payload_len bigint, win bigint, syn boolean, fin boolean, rst boolean, ack_flag boolean, window_scale int"
@@ -57,3 +58,26 @@ def test_displayed_meets_fragments(spark, text, numbers):
     raw = spark.createDataFrame(P.rows(frames), P.RAW)
     got = lambda df: sorted(r.number for r in df.select("number").collect())
     assert got(displayed(raw, text)) == numbers == got(stage.dissect(raw).where(compile_filter(text)))
+
+
+def test_conversations_of_deep_frames_and_reused_ports(spark):
+    a6, b6 = bytes(15) + b"\1", bytes(15) + b"\2"
+    syn = P.segment(flags=2)
+    whole = P.udp(b"z" * 40, 5000, 53)
+    one = fragments(whole, 17, 9)
+    tags = P.eth(b"\0\1\x81\0\0\2\x81\0\0\3\x08\0" + P.ip(P.udp(b"vlan", 5000, 53), 17), 0x8100)
+    hop = P.eth(P.ip6(b"\x11\0" + bytes(6) + P.udp(b"six", 7, 8, src=a6, dst=b6), 0, a6, b6), 0x86DD)
+    quote = P.eth(P.ip(b"\x03\x03" + bytes(6) + P.ip(whole, 17)[:28], 1, P.IP_B, P.IP_A))
+    frames = [syn, P.segment(b"abc", back=True), one[0], one[1], tags, hop, syn, P.segment(b"d"), quote, P.eth(P.ip(P.udp(b"r", 53, 5000, src=P.IP_B, dst=P.IP_A), 17, P.IP_B, P.IP_A))]
+    raw = spark.createDataFrame(P.rows(frames), P.RAW)
+    n = lambda *i: sum(len(frames[k - 1]) for k in i)
+
+    def got(layer):
+        c = reports.conversations(reports.packets(raw, layer), ["stream_id"])
+        return sorted((r.stream_id, (bytes(r.a.addr), r.a.port), (bytes(r.b.addr), r.b.port), r.packets_a, r.packets_b, r.bytes_a, r.bytes_b, r.first_number, r.duration_s) for r in c.collect())
+
+    # a SYN on known ports begins another stream; the frame that completes a datagram holds its ports
+    a, b = (P.IP_B, 7000), (P.IP_A, 40000)
+    assert got("tcp") == [(0, a, b, 1, 1, n(2), n(1), 1, 1.0), (3, a, b, 0, 2, 0, n(7, 8), 7, 1.0)]
+    # an ICMP error has its own addresses, the ports and the stream of what it quotes
+    assert got("udp") == [(1, (P.IP_B, 53), (P.IP_A, 5000), 1, 2, n(10), n(4, 5), 4, 6.0), (1, (P.IP_B, 5000), (P.IP_A, 53), 1, 0, n(9), 0, 9, 0.0), (2, (a6, 7), (b6, 8), 1, 0, n(6), 0, 6, 0.0)]

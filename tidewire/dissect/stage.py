@@ -92,11 +92,11 @@ def _whole(v: dict | None) -> tuple | None:
 
 
 WHOLE = "struct<state:string,value:binary,why:string,parts:array<struct<frame:bigint,at:int,size:int>>>"
-FLOW = "src_end struct<addr:binary,v6:boolean,port:bigint>, dst_end struct<addr:binary,v6:boolean,port:bigint>, flow_proto bigint, fresh boolean"
+FLOW = "src_end struct<addr:binary,v6:boolean,port:bigint>, dst_end struct<addr:binary,v6:boolean,port:bigint>, flow_proto bigint, fresh boolean, net_src binary, net_dst binary"
 
 
 def _ends(x: layers.Context) -> tuple:
-    """FLOW of a dissected frame, from its TCP or UDP nodes and the addresses above them."""
+    """Stream ends, protocol and freshness of a dissected frame, from its TCP or UDP nodes and the addresses above them."""
     t = x.tree
     for p, number in (("tcp", 6), ("udp", 17)):
         if f"{p}.dstport" in t.field:
@@ -111,6 +111,15 @@ def _ends(x: layers.Context) -> tuple:
     return None, None, None, None
 
 
+def _flow(x: layers.Context) -> tuple:
+    """FLOW of a dissected frame: net_src and net_dst are its outermost addresses."""
+    ends, t = _ends(x), x.tree
+    if ends[0] is None:
+        return *ends, None, None
+    outer = t.field.index("ip.dst" if "ip.dst" in t.field else "ipv6.dst")
+    return *ends, t.a[outer - 1], t.a[outer]
+
+
 def deep_frames(flat: DataFrame) -> DataFrame:
     """RAW, whole and FLOW of the frames that headers() cannot tell all of. Fragments meet their datagram, in order of
     number; whole is what reassembly says of each: STRUCT<state (whole, part, bad), value, why, parts>."""
@@ -122,7 +131,7 @@ def deep_frames(flat: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.struct([("frame", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
         end = pa.struct([("addr", pa.binary()), ("v6", pa.bool_()), ("port", pa.int64())])
-        kinds = (pa.struct([("state", pa.string()), ("value", pa.binary()), ("why", pa.string()), ("parts", pa.list_(part))]), end, end, pa.int64(), pa.bool_())
+        kinds = (pa.struct([("state", pa.string()), ("value", pa.binary()), ("why", pa.string()), ("parts", pa.list_(part))]), end, end, pa.int64(), pa.bool_(), pa.binary(), pa.binary())
         at, state = None, flow.Fragments()
         for batch in batches:
             out = []
@@ -133,15 +142,15 @@ def deep_frames(flat: DataFrame) -> DataFrame:
                         at, state = (capture, key), flow.Fragments()
                     whole = state.add((frag & 0x1FFF) * 8, bool(frag & 0x2000), payload or b"", number or 0, ts or 0)
                 if whole is not None and whole[0] != "whole":
-                    ends = (None,) * 4  # no transport header can be read yet
+                    ends = (None,) * 6  # no transport header can be read yet
                 else:
-                    ends = _ends(layers.frame(raw or b"", _link(link), number or 0, ts or 0, orig or 0, whole=whole))
+                    ends = _flow(layers.frame(raw or b"", _link(link), number or 0, ts or 0, orig or 0, whole=whole))
                 if whole is not None:
                     kind, value, parts = whole
                     whole = {"state": kind, "value": value if kind == "whole" else None, "why": value if kind == "bad" else None, "parts": [dict(zip(("frame", "at", "size"), p)) for p in parts] if kind == "whole" else []}
                 out.append((whole, *ends))
             cols = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(RAW)], *cols], names=[*RAW, "whole", "src_end", "dst_end", "flow_proto", "fresh"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(RAW)], *cols], names=[*RAW, "whole", "src_end", "dst_end", "flow_proto", "fresh", "net_src", "net_dst"])
 
     return f.mapInArrow(run, f"capture_id string, number bigint, link_type int, ts_ns bigint, orig_len bigint, bytes binary, whole {WHOLE}, {FLOW}")
 
@@ -155,12 +164,13 @@ def with_wholes(raw: DataFrame) -> DataFrame:
 
 def with_flows(raw: DataFrame) -> DataFrame:
     """RAW, whole (of fragments), src_end, dst_end, flow_proto, fresh: the stream endpoints of each frame, as the frame's
-    sender saw them; of an ICMP error those it quotes. Null where there is no TCP or UDP header under an IP header."""
+    sender saw them; of an ICMP error those it quotes. net_src, net_dst: the frame's own addresses, of an ICMP error not the
+    quoted ones. Null where there is no TCP or UDP header under an IP header."""
     flat = headers(raw.select(*RAW), ("deep", "fragment", "ip_src", "ip_dst", "ip6_src", "ip6_dst", "ip_id", "ip_proto", "ip_frag", "l3", "head", "l4_end", "proto", "tcp_src", "tcp_dst", "udp_src", "udp_dst", "tcp_syn", "tcp_ackf"))
     pad = lambda v4, v6: F.coalesce(F.concat(F.col(v4), F.lit(bytes(12))), F.col(v6))
     end = lambda side: F.struct(pad(f"ip_{side}", f"ip6_{side}").alias("addr"), F.col(f"ip6_{side}").isNotNull().alias("v6"), F.coalesce(f"tcp_{side}", f"udp_{side}").alias("port"))
     has = F.coalesce("tcp_src", "udp_src").isNotNull()
-    plain = flat.where(~F.col("deep")).select(*RAW, F.lit(None).cast(WHOLE).alias("whole"), F.when(has, end("src")).alias("src_end"), F.when(has, end("dst")).alias("dst_end"), F.when(has, F.col("proto")).alias("flow_proto"), F.coalesce(F.col("tcp_syn") & ~F.col("tcp_ackf"), F.lit(False)).alias("fresh"))
+    plain = flat.where(~F.col("deep")).select(*RAW, F.lit(None).cast(WHOLE).alias("whole"), F.when(has, end("src")).alias("src_end"), F.when(has, end("dst")).alias("dst_end"), F.when(has, F.col("proto")).alias("flow_proto"), F.coalesce(F.col("tcp_syn") & ~F.col("tcp_ackf"), F.lit(False)).alias("fresh"), *(F.when(has, F.coalesce(f"ip_{side}", f"ip6_{side}")).alias(f"net_{side}") for side in ("src", "dst")))
     return plain.unionByName(deep_frames(flat))
 
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.dissect import stage
 from tidewire.dissect.headers import headers
 from tidewire.filters.compiler import compile_filter
 from tidewire.filters.language import FilterError
@@ -31,23 +32,24 @@ def _end(addr: Column, port: Column | None = None) -> Column:
 
 
 def packets(raw: DataFrame, layer: str) -> DataFrame:
-    """capture_id, number, ts_ns, orig_len, src, dst of the frames that have the layer (eth, ip, tcp, udp), from the outer headers."""
-    h = headers(raw, {"eth": ("eth_src", "eth_dst")}.get(layer, ("ip_src", "ip_dst", "ip6_src", "ip6_dst", f"{layer}_src", f"{layer}_dst")))
-    src, dst = "eth_src", "eth_dst"
-    if layer == "eth":
-        a, b, has = _end(F.col(src)), _end(F.col(dst)), F.col(src).isNotNull()
-    else:
-        addr = lambda s: F.coalesce(f"ip_{s}", f"ip6_{s}")
-        port = (lambda s: F.col(f"{layer}_{s}")) if layer in ("tcp", "udp") else (lambda s: None)
-        a, b = _end(addr("src"), port("src")), _end(addr("dst"), port("dst"))
-        has = addr("src").isNotNull() if layer == "ip" else F.col(f"{layer}_src").isNotNull()
-    return h.where(has).select("capture_id", "number", "ts_ns", "orig_len", a.alias("src"), b.alias("dst"))
+    """capture_id, number, ts_ns, orig_len, src, dst of the frames that have the layer (eth, ip, tcp, udp), and for tcp and
+    udp their stream_id. Ports are found behind IPv6 extension headers, in datagrams of several fragments (at the frame that
+    completes one), behind any VLAN tags and in what an ICMP error quotes, with the frame's own addresses. Of eth and ip the
+    outer headers count; IP behind more than two VLAN tags or LLC does not."""
+    if layer in ("tcp", "udp"):
+        f = stage.with_flows(raw).drop("link_type", "bytes", "whole")
+        f = stage.with_streams(f.where("src_end is not null")).where(F.col("flow_proto") == {"tcp": 6, "udp": 17}[layer])
+        return f.select("capture_id", "number", "ts_ns", "orig_len", *(_end(F.col(f"net_{s}"), F.col(f"{s}_end.port")).alias(s) for s in ("src", "dst")), "stream_id")
+    h = headers(raw, ("eth_src", "eth_dst") if layer == "eth" else ("ip_src", "ip_dst", "ip6_src", "ip6_dst"))
+    src, dst = (F.col("eth_src"), F.col("eth_dst")) if layer == "eth" else (F.coalesce("ip_src", "ip6_src"), F.coalesce("ip_dst", "ip6_dst"))
+    return h.where(src.isNotNull()).select("capture_id", "number", "ts_ns", "orig_len", _end(src).alias("src"), _end(dst).alias("dst"))
 
 
 def conversations(p: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """One row per pair of ends (and the extra key columns, say a stream id): a, b with a <= b; packets and bytes sent by
+    """One row per pair of ends (and the extra key columns): a, b with a <= b; packets and bytes sent by
     either; first_number; first and last time in capture order; duration_s (not negative) and bits per second, null for a
-    duration of up to a microsecond. Bytes are lengths on the wire."""
+    duration of up to a microsecond. Bytes are lengths on the wire. The tcp and udp reports have stream_id as extra: without
+    it, connections that reuse a pair of ports are one row."""
     low, high = F.least("src", "dst"), F.greatest("src", "dst")
     p = p.withColumns({"a": low, "b": high, "fwd": F.col("src") == low})
     n = lambda cond, x: F.sum(F.when(cond, x).otherwise(0))

@@ -46,7 +46,7 @@ def segment_conversations(spark: SparkSession, folder: str) -> DataFrame:
 
 def synthetic_conversations(spark: SparkSession, folder: str) -> DataFrame:
     """The generator's flows, as conversations."""
-    c = reports.conversations(reports.packets(synthetic(spark, 6400), "tcp"))
+    c = reports.conversations(reports.packets(synthetic(spark, 6400), "tcp"), ["stream_id"])
     return c.select(F.greatest("a.port", "b.port").alias("port"), (F.col("packets_a") + F.col("packets_b")).alias("packets"), (F.col("bytes_a") + F.col("bytes_b")).alias("bytes"), "first_number")
 
 

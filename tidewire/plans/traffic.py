@@ -132,7 +132,7 @@ def tree_projection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _talks(p: DataFrame, show) -> DataFrame:
-    c = reports.conversations(p)
+    c = reports.conversations(p, [c for c in ("stream_id",) if c in p.columns])
     return c.select(show(F.col("a.addr")).alias("a"), F.col("a.port").alias("a_port"), show(F.col("b.addr")).alias("b"), F.col("b.port").alias("b_port"), "packets_a", "packets_b", "bytes_a", "bytes_b", "first_number", F.round("duration_s", 6).alias("duration_s"), F.round("bps", 3).alias("bps"))
 
 
