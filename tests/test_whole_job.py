@@ -10,7 +10,7 @@ from test_dissect import name
 from tidewire.dissect import flow, stage
 from tidewire.filters import compile_filter
 from tidewire.filters.compiler import displayed
-from tidewire.operators import reports
+from tidewire.operators import reports, sessions
 from tidewire.plans import segments
 
 SEGMENT = "fixture string, frame bigint, ts timestamp, lo struct<addr:binary,v6:boolean,port:int>, hi struct<addr:binary,v6:boolean,port:int>, proto int, from_lo boolean, seq bigint, ack bigint, payload_len bigint, win bigint, syn boolean, fin boolean, rst boolean, ack_flag boolean, window_scale int"
@@ -81,3 +81,20 @@ def test_conversations_of_deep_frames_and_reused_ports(spark):
     assert got("tcp") == [(0, a, b, 1, 1, n(2), n(1), 1, 1.0), (3, a, b, 0, 2, 0, n(7, 8), 7, 1.0)]
     # an ICMP error has its own addresses, the ports and the stream of what it quotes
     assert got("udp") == [(1, (P.IP_B, 53), (P.IP_A, 5000), 1, 2, n(10), n(4, 5), 4, 6.0), (1, (P.IP_B, 5000), (P.IP_A, 53), 1, 0, n(9), 0, 9, 0.0), (2, (a6, 7), (b6, 8), 1, 0, n(6), 0, 6, 0.0)]
+
+
+def test_items_repeated_in_a_session_count_once(spark):
+    r = random.Random(5)
+    rows = [(r.choice(("a", None)), r.randrange(400), r.choice((1, 2, 3, 4, 5, 6, 7, None))) for _ in range(160)]
+    want = []
+    for k in ("a", None):
+        run = []
+        for t, i in [*sorted(((t, i) for x, t, i in rows if x == k), key=lambda x: x[0]), (10**6, None)]:
+            if run and t - run[-1][0] > 6:
+                want.append((k, run[0][0], run[-1][0], run[-1][0] - run[0][0], len(run), len({i for _, i in run} - {None})))
+                run = []
+            run.append((t, i))
+    df = spark.createDataFrame(rows, "k string, us bigint, frame bigint")
+    for shard in (7, 50, 10**6):
+        got = [tuple(x) for x in sessions.sessions(df, ["k"], "us", "frame", 6, shard, once_a_session=True).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)

@@ -50,15 +50,15 @@ def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(skew.key_percentiles(_payloads(spark, folder), KEY, "payload_len", FRACTIONS))
 
 
-def _sessions(spark: SparkSession, folder: str) -> DataFrame:
+def _sessions(spark: SparkSession, folder: str, once_a_session: bool = False) -> DataFrame:
     seg = table(spark, folder, "stream_segment")
     us = epoch_us(seg, "ts")
     e = seg.select("fixture", *stream_key(F.col("lo"), F.col("hi"), F.col("proto")), F.when(us != 0, us).alias("us"), "frame")
-    return _plain(sessions.sessions(e, ["fixture", *KEY], "us", "frame", GAP_US))
+    return _plain(sessions.sessions(e, ["fixture", *KEY], "us", "frame", GAP_US, once_a_session=once_a_session))
 
 
 def p5_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    return _sessions(spark, folder).withColumnRenamed("items", "frames")
+    return _sessions(spark, folder, once_a_session=True).withColumnRenamed("items", "frames")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
