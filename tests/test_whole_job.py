@@ -12,6 +12,7 @@ from tidewire.filters import compile_filter
 from tidewire.filters.compiler import displayed
 from tidewire.operators import reports, sessions
 from tidewire.plans import segments
+from tidewire.streaming import live
 
 SEGMENT = "fixture string, frame bigint, ts timestamp, lo struct<addr:binary,v6:boolean,port:int>, hi struct<addr:binary,v6:boolean,port:int>, proto int, from_lo boolean, seq bigint, ack bigint, payload_len bigint, win bigint, syn boolean, fin boolean, rst boolean, ack_flag boolean, window_scale int"
 #: the forms in which stream_segment writes an IPv4 address
@@ -98,3 +99,18 @@ def test_items_repeated_in_a_session_count_once(spark):
     for shard in (7, 50, 10**6):
         got = [tuple(x) for x in sessions.sessions(df, ["k"], "us", "frame", 6, shard, once_a_session=True).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_streaming_segments_behind_nested_headers(spark):
+    a6, b6 = bytes(15) + b"\1", bytes(15) + b"\2"
+    tcp = P.tcp(b"abc", 5, 6, seq=77, flags=0x12, window=900, options=b"\3\3\7\0")
+    hop = P.eth(P.ip6(b"\x06\0" + bytes(6) + tcp, 0, a6, b6), 0x86DD)
+    tags = P.eth(b"\0\1\x81\0\0\2\x81\0\0\3\x08\0" + P.ip(tcp, 6), 0x8100)
+    quote = P.eth(P.ip(b"\x03\x03" + bytes(6) + P.ip(tcp, 6), 1, P.IP_B, P.IP_A))
+    raw = spark.createDataFrame(P.rows([hop, tags, quote, P.eth(P.ip(tcp, 6))]), P.RAW)
+    got = {r.number: r for r in live.segments(raw).collect()}
+    assert sorted(got) == [1, 2, 4]
+    for r in got.values():
+        assert (r.seq, r.size, r.win, r.flags, bytes(r.options)) == (77, 3, 900, 0x12, b"\3\3\7\0")
+    assert (got[2].a, got[2].b, got[2].sender) == (got[4].a, got[4].b, got[4].sender)
+    assert got[1].sender == f"{a6.hex().upper()}/00005" and got[1].b == f"{b6.hex().upper()}/00006"

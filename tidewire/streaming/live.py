@@ -10,11 +10,12 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidewire.dissect import flow
+from tidewire.dissect import flow, layers, stage
 from tidewire.dissect.headers import headers
 from tidewire.sources.capture import from_binary
 
@@ -22,6 +23,11 @@ IDLE_MS = 300_000  # fixed value
 FILE = "path string, modificationTime timestamp, length bigint, content binary"
 ANALYSIS = "capture_id string, number bigint, sender string, generation bigint, findings array<string>, in_flight bigint, duplicate_number bigint, duplicate_frame bigint"
 
+NUMBERS = ("sender", "seq", "ack", "size", "win", "flags", "options")
+FIELDS = ("tcp.seq", "tcp.ack", "tcp.len", "tcp.window_size_value", "tcp.flags", "tcp.hdr_len")
+NESTED = "capture_id string, number bigint, ts_ns bigint, sender string, peer string, seq bigint, ack bigint, size bigint, win bigint, flags bigint, options binary"
+NESTED_COLUMNS = tuple(c.split()[0] for c in NESTED.split(", "))
+
 
 def frames(spark: SparkSession, folder: str, files_per_batch: int = 16, one_capture: str | None = None) -> DataFrame:
     """A stream of RAW columns from a folder into which capture files are moved. Rotated files of one capture take one
@@ -46,11 +52,31 @@ def talkers(raw: DataFrame) -> DataFrame:
 
 
 def segments(raw: DataFrame) -> DataFrame:
-    """capture_id, number, ts, ts_ns, a and b (the stream's ends as text, sorted), sender and the TCP header's numbers."""
-    h = headers(raw).where("not deep and tcp_hdr is not null")
+    """capture_id, number, ts, ts_ns, a and b (the stream's ends as text, sorted), sender and the TCP header's numbers. TCP
+    behind nested headers is dissected for it; TCP in IPv4 fragments is left out, as datagrams are not put together here."""
+    every = headers(raw)
+    h = every.where("not deep and tcp_hdr is not null")
     end = lambda s: F.concat_ws("/", F.hex(F.coalesce(f"ip_{s}", f"ip6_{s}")), F.lpad(F.col(f"tcp_{s}").cast("string"), 5, "0"))
     opts = F.expr("substring(bytes, cast(l4 + 21 as int), cast(greatest(tcp_hdr - 20, 0) as int))")
-    return h.select("capture_id", "number", F.timestamp_micros(F.expr("ts_ns div 1000")).alias("ts"), "ts_ns", F.least(end("src"), end("dst")).alias("a"), F.greatest(end("src"), end("dst")).alias("b"), end("src").alias("sender"), F.col("tcp_seq").alias("seq"), F.col("tcp_ack").alias("ack"), F.col("tcp_len").alias("size"), F.col("tcp_window").alias("win"), F.col("tcp_flags").alias("flags"), opts.alias("options"))
+    plain = h.select("capture_id", "number", F.timestamp_micros(F.expr("ts_ns div 1000")).alias("ts"), "ts_ns", F.least(end("src"), end("dst")).alias("a"), F.greatest(end("src"), end("dst")).alias("b"), end("src").alias("sender"), F.col("tcp_seq").alias("seq"), F.col("tcp_ack").alias("ack"), F.col("tcp_len").alias("size"), F.col("tcp_window").alias("win"), F.col("tcp_flags").alias("flags"), opts.alias("options"))
+    deep = every.where("deep and not fragment").select(*stage.RAW).mapInArrow(_nested, NESTED)
+    return plain.unionByName(deep.select("capture_id", "number", F.timestamp_micros(F.expr("ts_ns div 1000")).alias("ts"), "ts_ns", F.least("sender", "peer").alias("a"), F.greatest("sender", "peer").alias("b"), *NUMBERS))
+
+
+def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """NESTED of the frames that have a TCP header of their own, not one quoted by an ICMP error."""
+    schema = pa.schema([(c, pa.binary() if c == "options" else pa.string() if c in ("capture_id", "sender", "peer") else pa.int64()) for c in NESTED_COLUMNS])
+    for batch in batches:
+        out = []
+        for capture, number, link, ts, orig, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            x = layers.frame(raw or b"", -1 if link is None else link, number or 0, ts or 0, orig or 0)
+            t, (src, dst, proto, _) = x.tree, stage._ends(x)
+            if proto != 6 or "icmp" in t.field or not all(f in t.field for f in FIELDS):
+                continue
+            src, dst = (f"{e['addr'][: 16 if e['v6'] else 4].hex().upper()}/{e['port']:05}" for e in (src, dst))
+            start, values = t.start[t.field.index("tcp.srcport")], [t.u[t.field.index(f)] for f in FIELDS]
+            out.append((capture, number, ts, src, dst, *values[:5], raw[start + 20 : start + max(values[5], 20)]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * len(schema), schema)], schema=schema)
 
 
 def _observe(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
