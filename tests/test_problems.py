@@ -80,23 +80,23 @@ def brute_series(points, buckets, step, max_gap):
     at = {}
     for t, v in points:
         at.setdefault(t, []).append(v)
+    read = sorted((t, sum(v) / len(v)) for t, v in at.items())
     segments, by = [], {}
-    for t, v in at.items():
-        by.setdefault(t // step, []).append((t, sum(v) / len(v)))
-    for b in sorted(by):
-        knot = (b, sum(t for t, _ in by[b]) // len(by[b]), sum(v for _, v in by[b]) / len(by[b]))
-        if segments and b - segments[-1][-1][0] - 1 <= max_gap:
-            segments[-1].append(knot)
+    for t, v in read:
+        b = t // step
+        by.setdefault(b, []).append(v)
+        if segments and b - segments[-1][-1][0] // step - 1 <= max_gap:
+            segments[-1].append((t, v))
         else:
-            segments.append([knot])
+            segments.append([(t, v)])
     out = {}
     for b in range(buckets):
         if b in by:
-            out[b] = (len(by[b]), sum(v for _, v in by[b]) / len(by[b]), "read")
+            out[b] = (len(by[b]), sum(by[b]) / len(by[b]), "read")
             continue
         mid = b * step + step // 2
-        inside = [s for s in segments if s[0][0] < b < s[-1][0]]
-        out[b] = (0, pchip([t / 1e6 for _, t, _ in inside[0]], [v for _, _, v in inside[0]], mid / 1e6), "filled") if inside else (0, None, "absent")
+        inside = [s for s in segments if s[0][0] < mid < s[-1][0]]
+        out[b] = (0, pchip([t / 1e6 for t, _ in inside[0]], [v for _, v in inside[0]], mid / 1e6), "filled") if inside else (0, None, "absent")
     return out
 
 
@@ -130,6 +130,24 @@ def test_series_against_brute_force(spark):
     assert grid.regular_series(l.where("false"), g.where("false")).count() == 0
 
 
+def test_series_passes_through_readings(spark):
+    at = [(0.0, 0.0), (0.9, 10.0), (2.0, 10.0), (2.9, 0.0)]
+    lines = spark.createDataFrame([(1, 0, T0 + dt.timedelta(seconds=t), [v]) for t, v in at], "graph_id bigint, line_no int, ts timestamp_ntz, points array<double>")
+    graphs = spark.createDataFrame([(1, 1.0, T0, 3, ["a"])], "graph_id bigint, graph_interval double, graph_start timestamp_ntz, buckets bigint, series array<string>")
+    got = {r.bucket: (r.status, r.value) for r in grid.regular_series(lines, graphs).collect()}
+    assert got == {0: ("read", 5.0), 1: ("filled", 10.0), 2: ("read", 5.0)}
+
+
+def test_series_of_one_hot_shard(spark, monkeypatch):
+    """One shard's rows from many tasks, more than are held at a time."""
+    n = 200_000
+    lines = spark.range(n, numPartitions=8).select(F.lit(1).alias("graph_id"), F.lit(0).alias("line_no"), F.timestamp_micros(F.lit(1_577_836_800_000_000) + F.pmod("id", F.lit(900)) * 2_000_000 + F.pmod("id", F.lit(7)) * 1000).alias("ts"), F.array(F.lit(2.0)).alias("points"))
+    graphs = spark.createDataFrame([(1, 1.0, T0, 1800, ["a"])], "graph_id int, graph_interval double, graph_start timestamp_ntz, buckets bigint, series array<string>")
+    monkeypatch.setattr(grid, "HELD", 3000)
+    rows = grid.regular_series(lines, graphs).groupBy("status").agg(F.count("*"), F.sum("n_readings"), F.min("value"), F.max("value")).collect()
+    assert {tuple(r) for r in rows} == {("read", 900, 6300, 2.0, 2.0), ("filled", 899, 0, 2.0, 2.0), ("absent", 1, 0, None, None)}
+
+
 def test_weighted_statistics(spark):
     r = random.Random(3)
     rows = [("hot" if r.random() < 0.7 else r.choice(["a", None]), r.choice([None, r.randrange(3), r.randrange(5000)]), "clash") for _ in range(4000)] + [("null", None, None)]

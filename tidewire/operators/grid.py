@@ -1,20 +1,28 @@
 """Irregular readings onto a regular grid.
 
-Fragments are unnested to readings, the readings of a bucket become one knot (their mean value at their mean time), knots
-are spread over (graph, line, time shard), and each shard gets two halo knots of either side, so that every gap is filled
-by a monotone cubic (Fritsch-Carlson slopes, the interior slopes weighted by the interval lengths) exactly as over the
-whole line. A line of any length is thus never held by one task;
-only its shards' four edge knots meet in a window.
+Each task combines the readings it holds by line, time shard and instant, so what is shuffled are a shard's distinct
+instants, once. A shard also gets the readings of a few buckets on either side of it (the halo): a gap of more than max_gap
+buckets ends a segment, so no reading farther away can shape a gap of the shard, and every gap is filled by the monotone
+cubic through the readings (Fritsch-Carlson slopes, the interior slopes weighted by the interval lengths) exactly as over
+the whole line. Every shard of every line has a row of its own in the shuffle, which gives the buckets that nobody read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewire.functions.times import epoch_us, floor_div
+from tidewire.functions.times import epoch_us
 
 LINE = ("graph_id", "line_no")
+STATUS = ("absent", "read", "filled")
+HELD = 1 << 19  # readings and buckets worked on side by side
+SHARDS_A_ROW = 4096
 
 
 def grids(graphs: DataFrame) -> DataFrame:
@@ -26,89 +34,196 @@ def grids(graphs: DataFrame) -> DataFrame:
     return g.groupBy("graph_id").agg(F.max("g").alias("g")).select("graph_id", "g.*")
 
 
-def readings(lines: DataFrame, grid: DataFrame, shard_buckets: int) -> DataFrame:
-    """graph_id, line_no, start_us, step_us, buckets, b, n, v, t, shard: one row per line and bucket with readings, spread by
-    shard; n instants, their mean value and mean time. Readings that are null or NaN, fragments without ts or points, and
-    lines outside the graph's series are no readings; several readings of one instant count as their mean."""
-    f = lines.select("graph_id", F.col("line_no").cast("bigint").alias("line_no"), epoch_us(lines, "ts").alias("ts_us"), "points").where("ts_us is not null and points is not null")
-    f = f.join(grid, "graph_id").where("line_no >= 0 and line_no < n_lines")
-    r = f.select(*LINE, "start_us", "step_us", "buckets", "ts_us", F.posexplode("points").alias("i", "v")).where("v is not null and not isnan(v)")
-    r = r.withColumn("t", F.col("ts_us") + F.col("i") * F.col("step_us"))
-    r = r.withColumn("b", floor_div(F.col("t") - F.col("start_us"), F.col("step_us")))
-    # instants meet on the whole key and buckets combine on the map side: a line of any number of readings is spread evenly
-    r = r.groupBy(*LINE, "start_us", "step_us", "buckets", "b", "t").agg(F.avg("v").alias("v"))
-    r = r.groupBy(*LINE, "start_us", "step_us", "buckets", "b").agg(F.count("*").alias("n"), F.avg("v").alias("v"), F.avg(F.col("t") - F.col("start_us")).alias("t"))
-    r = r.withColumn("t", F.col("start_us") + F.floor("t"))
-    return r.withColumn("shard", floor_div(F.col("b"), F.lit(shard_buckets).cast("bigint"))).repartition(*LINE, "shard")
-
-
-def _halos(read: DataFrame) -> DataFrame:
-    """For each shard p1, p2 (the last two readings before it) and n1, n2 (the first two after), structs of (t, b, v)."""
-    shard = Window.partitionBy(*LINE, "shard")
-    r = read.select(*LINE, "shard", F.struct("t", "b", "v").alias("r"))
-    r = r.withColumn("i", F.row_number().over(shard.orderBy("r.t"))).withColumn("n", F.count("*").over(shard))
-    edge = r.where("i <= 2 or i >= n - 1")
-    line = Window.partitionBy(*LINE).orderBy("r.t")
-    edge = edge.select(*LINE, "shard", "i", "n", *(f(F.col("r"), k).over(line).alias(a) for a, f, k in (("p1", F.lag, 1), ("p2", F.lag, 2), ("n1", F.lead, 1), ("n2", F.lead, 2))))
-    at = lambda c, cond: F.max(F.when(F.expr(cond), F.col(c))).alias(c)
-    return edge.groupBy(*LINE, "shard").agg(at("p1", "i = 1"), at("p2", "i = 1"), at("n1", "i = n"), at("n2", "i = n"))
-
-
-def _inner(h0: str, h1: str, s0: str, s1: str) -> Column:
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of rows that agree in all columns begins."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _lists(column: pa.ListArray, kind: pa.DataType) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths; null lists are empty, null values NaN."""
+    sizes = column.value_lengths().fill_null(0)
+    return _numbers(column.flatten().cast(kind)), _numbers(sizes).astype(np.int64)
+
+
+def _expand(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner of each of sum(sizes) rows, and the row's place within its owner."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _combined(batch: pa.RecordBatch, shard: int, halo: int) -> pa.RecordBatch:
+    """A row per line and shard of the batch: its instants with the sums and numbers of their readings.
+
+    batch: graph_id, line_no, at (us since the graph's start), step_us, buckets, points."""
+    graph = batch.column(0).dictionary_encode()
+    key, line, at, step, buckets = _numbers(graph.indices), *(_numbers(batch.column(i)) for i in range(1, 5))
+    v, sizes = _lists(batch.column(5), pa.float64())
+    row, i = _expand(sizes)
+    b = np.floor_divide(at, step)[row] + i
+    use = ~np.isnan(v) & (b >= -halo) & (b < buckets[row] + halo)
+    row, i, b, v = row[use], i[use], b[use], v[use]
+    t = at[row] + i * step[row]
+    last = (buckets[row] - 1) // shard
+    low, high = (np.clip(np.floor_divide(b + side, shard), 0, last) for side in (-halo, halo))
+    of, k = _expand(high - low + 1)
+    row, t, v, s = row[of], t[of], v[of], low[of] + k
+    order = np.lexsort((t, s, line[row], key[row]))
+    row, t, v, s = row[order], t[order], v[order], s[order]
+    first = _runs(key[row], line[row], s, t)
+    n = np.diff(np.r_[first, len(t)])
+    v = np.add.reduceat(v, first) if len(first) else v
+    row, t, s = row[first], t[first], s[first]
+    head = _runs(key[row], line[row], s)
+    bounds = pa.array(np.r_[head, len(t)].astype(np.int32))
+    own = row[head]
+    cols = [graph.dictionary.take(pa.array(key[own])), pa.array(line[own]), pa.array(s[head]), pa.array(step[own]), pa.array(buckets[own])]
+    return pa.RecordBatch.from_arrays([*cols, *(pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (t, v, n))], names=_SHARD)
+
+
+_SHARD = ["graph_id", "line_no", "shard", "step_us", "buckets", "t", "total", "n"]
+
+
+def _inner(h0: np.ndarray, h1: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> np.ndarray:
     """Slope at the reading between the intervals 0 and 1: zero at an extremum, else the weighted harmonic mean."""
-    return F.expr(f"CASE WHEN {s0} * {s1} <= 0 THEN 0D ELSE 3 * ({h0} + {h1}) / ((2 * {h1} + {h0}) / {s0} + ({h1} + 2 * {h0}) / {s1}) END")
+    return np.where(s0 * s1 <= 0, 0.0, 3 * (h0 + h1) / ((2 * h1 + h0) / s0 + (h1 + 2 * h0) / s1))
 
 
-def _edge(h0: str, h1: str, s0: str, s1: str) -> Column:
+def _edge(h0: np.ndarray, h1: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> np.ndarray:
     """Slope at the outer end of interval 0, with 1 the next one inwards."""
-    d = f"(((2 * {h0} + {h1}) * {s0} - {h0} * {s1}) / ({h0} + {h1}))"
-    return F.expr(f"CASE WHEN signum{d} <> signum({s0}) THEN 0D WHEN signum({s0}) <> signum({s1}) AND abs{d} > 3 * abs({s0}) THEN 3 * {s0} ELSE {d} END")
+    d = ((2 * h0 + h1) * s0 - h0 * s1) / (h0 + h1)
+    capped = np.where((np.sign(s0) != np.sign(s1)) & (np.abs(d) > 3 * np.abs(s0)), 3 * s0, d)
+    return np.where(np.sign(d) != np.sign(s0), 0.0, capped)
+
+
+def _slopes(h: np.ndarray, s: np.ndarray, near: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes at the left and right reading of the intervals gap; h, s, near: of every interval between two instants."""
+    one = np.r_[h, 1.0, 1.0], np.r_[s, 0.0, 0.0], np.r_[near, False, False]
+    (h1, s1, _), (h0, s0, has0), (h2, s2, has2) = (tuple(x[gap + k] for x in one) for k in (0, -1, 1))
+    left = np.where(has0, _inner(h0, h1, s0, s1), np.where(has2, _edge(h1, h2, s1, s2), s1))
+    right = np.where(has2, _inner(h1, h2, s1, s2), np.where(has0, _edge(h1, h0, s1, s0), s1))
+    return left, right
+
+
+def _joined(shards: pa.Table) -> pa.Table:
+    """The rows of one shard as one row."""
+    t, total, n = (_numbers(shards.column(i).combine_chunks().flatten()) for i in (5, 6, 7))
+    order = np.argsort(t, kind="stable")
+    first = _runs(t[order])
+    if not len(first):
+        return shards.slice(0, 1)
+    lists = (t[order][first], np.add.reduceat(total[order], first), np.add.reduceat(n[order], first))
+    bounds = pa.array(np.array([0, len(first)], np.int32))
+    return pa.table([*(shards.column(i).slice(0, 1) for i in range(5)), *(pa.ListArray.from_arrays(bounds, pa.array(x)) for x in lists)], names=_SHARD)
+
+
+@np.errstate(all="ignore")
+def _filled(shards: pa.Table, shard: int, max_gap: int) -> pa.RecordBatch:
+    """A row for every bucket of the shards; rows of one shard stand together."""
+    col = lambda i: shards.column(i).combine_chunks()
+    graph = col(0).dictionary_encode()
+    key, line, s, step, buckets = _numbers(graph.indices), *(_numbers(col(i)) for i in range(1, 5))
+    head = _runs(key, line, s)
+    group = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(key)]))
+    key, line, step, low = key[head], line[head], step[head], s[head] * shard
+    size = np.minimum(low + shard, buckets[head]) - low
+    base = np.cumsum(size) - size
+    t, sizes = _lists(col(5), pa.int64())
+    total, n = _lists(col(6), pa.float64())[0], _lists(col(7), pa.int64())[0]
+    g = np.repeat(group, sizes)
+    order = np.lexsort((t, g))
+    g, t, total, n = g[order], t[order], total[order], n[order]
+    first = _runs(g, t)
+    g, t = g[first], t[first]
+    v = np.add.reduceat(total, first) / np.add.reduceat(n, first) if len(first) else total
+    b = np.floor_divide(t, step[g])
+
+    every = int(size.sum())
+    inside = (b >= low[g]) & (b < low[g] + size[g])
+    at = base[g[inside]] + b[inside] - low[g[inside]]
+    count = np.bincount(at, minlength=every)
+    value = np.bincount(at, v[inside], every) / count
+    status = (count > 0).astype(np.int8)
+
+    between = np.diff(b) - 1 if len(b) else np.zeros(0, np.int64)
+    near = (np.diff(g) == 0) & (between <= max_gap) if len(g) else np.zeros(0, bool)
+    h = np.diff(t) / 1e6
+    gap = np.flatnonzero(near & (between > 0))
+    left, right = _slopes(h, np.diff(v) / h, near, gap)
+    k, i = _expand(between[gap])
+    q = gap[k]
+    own, hole = g[q], b[q] + 1 + i
+    keep = (hole >= low[own]) & (hole < low[own] + size[own])
+    k, q, own, hole = k[keep], q[keep], own[keep], hole[keep]
+    u = (hole * step[own] + step[own] // 2 - t[q]) / 1e6 / h[q]
+    curve = v[q] * (1 + 2 * u) * (1 - u) ** 2 + v[q + 1] * u * u * (3 - 2 * u) + h[q] * u * (1 - u) * (left[k] * (1 - u) - right[k] * u)
+    sure = np.isfinite(curve)
+    place = (base[own] + hole - low[own])[sure]
+    value[place], status[place] = curve[sure], 2
+
+    of, i = _expand(size)
+    cols = [graph.dictionary.take(pa.array(key[of])), pa.array(line[of]), pa.array(low[of] + i), pa.array(count), pa.array(value, mask=status == 0), pa.array(STATUS).take(pa.array(status))]
+    return pa.RecordBatch.from_arrays(cols, names=["graph_id", "line_no", "bucket", "n_readings", "value", "status"])
 
 
 def regular_series(lines: DataFrame, graphs: DataFrame, max_gap: int = 5, shard_buckets: int = 2048) -> DataFrame:
     """graph_id, line_no, bucket, n_readings, value, status: one row for each bucket 0 .. buckets-1 of each line.
 
-    status `read`: the bucket has readings (one per instant) and value is their mean. `filled`: no reading, but the gap
-    between the buckets around it spans at most max_gap buckets; value is the cubic at the middle of the bucket.
-    `absent`: value is null (a longer gap, before the first or after the last reading, no readings, infinite neighbours).
-    Readings outside the grid are no rows but do shape and bound the gaps at its ends. Empty tables give no rows; extra
+    status `read`: the bucket has readings (n_readings instants; several readings of one instant count as their mean) and
+    value is the mean of the instants. `filled`: no reading, but the gap between the buckets around it spans at most max_gap
+    buckets; value is the cubic through the readings at the middle of the bucket. `absent`: value is null (a longer gap,
+    before the first or after the last reading, no readings, infinite neighbours).
+    Readings outside the grid are no rows but do shape and bound the gaps at its ends. Readings that are null or NaN,
+    fragments without ts or points, and lines outside the graph's series are no readings. Empty tables give no rows; extra
     columns are ignored; null graph_id or line_no are no line.
     """
-    grid = grids(graphs)
-    read = readings(lines, grid, shard_buckets)
-    seen = read.where("b >= 0 and b < buckets").select(*LINE, F.col("b").alias("bucket"), F.col("n").alias("n_readings"), F.col("v").alias("value"), F.lit("read").alias("status"))
-
-    w = Window.partitionBy(*LINE, "shard").orderBy("t")
-    r = read.withColumn("p2", F.struct("t", "b", "v"))
-    r = r.withColumns({"i": F.row_number().over(w), "l1": F.lag("p2", 1).over(w), "l2": F.lag("p2", 2).over(w), "r1": F.lead("p2", 1).over(w)})
-    r = r.join(_halos(read).withColumnsRenamed({"p1": "h1", "p2": "h2", "n1": "k1", "n2": "k2"}), [*LINE, "shard"])
-    first, last = F.col("i") == 1, F.col("r1").isNull()
-    # the gap before each reading, between q1 and q2; q0 and q3 are the readings around them
-    r = r.withColumns({"q1": F.coalesce("l1", "h1"), "q0": F.when(first, F.col("h2")).when(F.col("i") == 2, F.col("h1")).otherwise(F.col("l2")), "q3": F.coalesce("r1", "k1"), "q2": F.col("p2"), "ends": last & F.col("k1").isNull()})
-    near = lambda a, b: F.col(f"{b}.b") - F.col(f"{a}.b") - 1 <= max_gap
-    r = r.withColumns({"q0": F.when(near("q0", "q1"), F.col("q0")), "q3": F.when(near("q2", "q3"), F.col("q3"))})
-    r = r.where((F.col("q2.b") - F.coalesce(F.col("q1.b"), F.lit(-(2**62))) > 1) | F.col("ends"))
-    v, gone = (lambda q: F.col(f"{q}.v")), (lambda a, b: (F.col(f"{b}.t") - F.col(f"{a}.t")).cast("double") / 1e6)
-    r = r.select(*LINE, "start_us", "step_us", "buckets", "ends", F.col("q1.b").alias("b1"), F.col("q2.b").alias("b2"), F.col("q1.t").alias("t1"), v("q1").alias("v1"), v("q2").alias("v2"), *(gone(a, b).alias(f"h{k}") for k, (a, b) in enumerate((("q0", "q1"), ("q1", "q2"), ("q2", "q3")))), *((v(b) - v(a)).alias(f"d{k}") for k, (a, b) in enumerate((("q0", "q1"), ("q1", "q2"), ("q2", "q3")))))
-    span = lambda a, b: F.when(b >= a, F.sequence(a, b))
-    zero, end = F.lit(0).cast("bigint"), F.col("buckets") - 1
-    before = span(F.greatest(F.coalesce(F.col("b1") + 1, zero), zero), F.least(F.col("b2") - 1, end))
-    after = F.when(F.col("ends"), span(F.greatest(F.col("b2") + 1, zero), end))
-    fills = F.col("b1").isNotNull() & (F.col("b2") - F.col("b1") - 1 <= max_gap)
-    # the slopes are made between the two unnestings, each of which ends a stage of generated code
-    gap = r.select("*", F.explode(F.array(F.struct(before.alias("bs"), fills.alias("fills")), F.struct(after.alias("bs"), F.lit(False).alias("fills")))).alias("x"))
-    gap = gap.withColumns({f"s{k}": F.col(f"d{k}") / F.col(f"h{k}") for k in range(3)}).select("*", F.explode("x.bs").alias("bucket"))
-    left = F.when(F.col("s0").isNotNull(), _inner("h0", "h1", "s0", "s1")).when(F.col("s2").isNotNull(), _edge("h1", "h2", "s1", "s2")).otherwise(F.col("s1"))
-    right = F.when(F.col("s2").isNotNull(), _inner("h1", "h2", "s1", "s2")).when(F.col("s0").isNotNull(), _edge("h1", "h0", "s1", "s0")).otherwise(F.col("s1"))
-    mid = F.col("start_us") + F.col("bucket") * F.col("step_us") + F.call_function("div", F.col("step_us"), F.lit(2))
-    u = (mid - F.col("t1")).cast("double") / 1e6 / F.col("h1")
-    curve = F.transform(F.array(F.struct(u.alias("u"), left.alias("l"), right.alias("r"))), lambda x: F.col("v1") * (1 + 2 * x["u"]) * (1 - x["u"]) * (1 - x["u"]) + F.col("v2") * x["u"] * x["u"] * (3 - 2 * x["u"]) + F.col("h1") * x["u"] * (1 - x["u"]) * (x["l"] * (1 - x["u"]) - x["r"] * x["u"]))
-    value = F.transform(curve, lambda y: F.when(~F.isnan(y) & (F.abs(y) != float("inf")), y))
-    value = F.when(F.col("x.fills"), F.element_at(value, 1))
-    missing = gap.select(*LINE, "bucket", F.lit(0).cast("bigint").alias("n_readings"), value.alias("value"))
-    missing = missing.withColumn("status", F.when(F.col("value").isNotNull(), F.lit("filled")).otherwise(F.lit("absent")))
-
-    every = grid.select("graph_id", "buckets", F.explode(F.sequence(zero, F.col("n_lines") - 1)).alias("line_no"))
-    none = every.join(read.select(*LINE).distinct(), [*LINE], "left_anti").select(*LINE, F.explode(F.sequence(zero, end)).alias("bucket"))
-    none = none.select(*LINE, "bucket", F.lit(0).cast("bigint").alias("n_readings"), F.lit(None).cast("double").alias("value"), F.lit("absent").alias("status"))
-    return seen.unionByName(missing).unionByName(none)
+    grid, halo = grids(graphs), 2 * max_gap + 2
+    f = lines.select("graph_id", F.col("line_no").cast("bigint").alias("line_no"), epoch_us(lines, "ts").alias("ts_us"), "points").where("ts_us is not null and points is not null")
+    f = f.join(grid, "graph_id").where("line_no >= 0 and line_no < n_lines")
+    f = f.select(*LINE, (F.col("ts_us") - F.col("start_us")).alias("at"), "step_us", "buckets", "points")
+    key = grid.schema["graph_id"]
+    long, many = T.LongType(), lambda k: T.ArrayType(k)
+    shards = T.StructType([key, *(T.StructField(c, long) for c in _SHARD[1:5]), T.StructField("t", many(long)), T.StructField("total", many(T.DoubleType())), T.StructField("n", many(long))])
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _combined(b, shard_buckets, halo)
+
+    zero = F.lit(0).cast("bigint")
+    top = F.call_function("div", F.col("buckets") - 1, F.lit(shard_buckets).cast("bigint"))
+    every = grid.select("graph_id", F.explode(F.sequence(zero, F.col("n_lines") - 1)).alias("line_no"), "step_us", "buckets", top.alias("top"))
+    every = every.select("*", F.explode(F.sequence(zero, F.col("top"), F.lit(SHARDS_A_ROW).cast("bigint"))).alias("low"))
+    every = every.select("*", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + SHARDS_A_ROW - 1, F.col("top")))).alias("shard"))
+    every = every.select(*LINE, "shard", "step_us", "buckets", *(F.array().cast(shards[c].dataType).alias(c) for c in _SHARD[5:]))
+    parts = f.mapInArrow(combine, shards).unionByName(every)
+    parts = parts.repartition(*LINE, "shard").sortWithinPartitions(*LINE, "shard")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, most = [], 0, HELD
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                held.append(part)
+                size += len(part.column(5).flatten()) + shard_buckets * part.num_rows
+                if size >= most:
+                    whole = pa.Table.from_batches(held).combine_chunks()
+                    codes = [whole.column(i).combine_chunks().dictionary_encode().indices.to_numpy() for i in range(3)]
+                    cut = int(_runs(*codes)[-1])
+                    if cut:
+                        yield _filled(whole.slice(0, cut), shard_buckets, max_gap)
+                    held = _joined(whole.slice(cut)).to_batches()  # a shard's distinct instants are all that is held
+                    size = sum(len(b.column(5).flatten()) + shard_buckets * b.num_rows for b in held)
+                    most = max(HELD, 2 * size)
+        if held:
+            yield _filled(pa.Table.from_batches(held), shard_buckets, max_gap)
+
+    out = T.StructType([key, T.StructField("line_no", long), T.StructField("bucket", long), T.StructField("n_readings", long), T.StructField("value", T.DoubleType()), T.StructField("status", T.StringType())])
+    return parts.mapInArrow(fill, out)

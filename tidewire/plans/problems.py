@@ -20,11 +20,13 @@ def _series(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_series(spark: SparkSession, folder: str) -> DataFrame:
-    return _series(spark, folder)
+    """Every bucket with its value, to six digits, and status."""
+    return _series(spark, folder).withColumn("value", F.round("value", 6) + 0.0)  # no negative zero
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _series(spark, folder).where("n_readings = 0").select("graph_id", "line_no", "bucket")
+    """The buckets whose value was not read but filled or is absent."""
+    return _series(spark, folder).where("status <> 'read'").select("graph_id", "line_no", "bucket")
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -87,7 +89,37 @@ steps AS (SELECT *, us - lag(us) OVER (PARTITION BY fixture, {_K} ORDER BY us) A
 runs AS (SELECT *, sum(CASE WHEN step <= {GAP_US} THEN 0 ELSE 1 END) OVER (PARTITION BY fixture, {_K} ORDER BY us) AS run FROM steps),
 sess AS (SELECT fixture, {_K}, min(us) AS start_us, max(us) AS end_us, max(us) - min(us) AS duration_us, count(*) AS rows, count(DISTINCT frame) AS frames FROM runs GROUP BY fixture, {_K}, run)"""
 
+_READINGS = """
+g AS (SELECT DISTINCT graph_id, graph_start, buckets, CAST(round(graph_interval * 1e6) AS BIGINT) AS step, len(series) AS n FROM io_graph WHERE graph_start IS NOT NULL AND buckets > 0),
+f AS (SELECT l.graph_id, CAST(l.line_no AS BIGINT) AS line_no, epoch_us(l.ts) - epoch_us(g.graph_start) AS d, g.step, g.buckets, l.points FROM io_line l JOIN g USING (graph_id) WHERE l.ts IS NOT NULL AND l.line_no BETWEEN 0 AND g.n - 1),
+p AS (SELECT graph_id, line_no, d, step, buckets, unnest(points) AS v, unnest(range(len(points))) AS i FROM f),
+r AS (SELECT graph_id, line_no, step, buckets, d + i * step AS t, CAST(floor((d + i * step) / step) AS BIGINT) AS b, avg(v) AS v FROM p WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY graph_id, line_no, step, buckets, d + i * step),
+every AS (SELECT graph_id, line_no, unnest(range(buckets)) AS bucket FROM (SELECT graph_id, buckets, unnest(range(n)) AS line_no FROM g))"""
+
+_MAX_GAP = 5
+_HARMONIC = "CASE WHEN {a} * {b} <= 0 THEN 0 ELSE 3 * ({h} + {k}) / ((2 * {k} + {h}) / {a} + ({k} + 2 * {h}) / {b}) END"
+_OUTER = "CASE WHEN sign({d}) <> sign({a}) THEN 0 WHEN sign({a}) <> sign({b}) AND abs({d}) > 3 * abs({a}) THEN 3 * {a} ELSE {d} END"
+
+
+def _slope(h: str, a: str, inward: str, b_in: str, beside: str, b_out: str) -> str:
+    """Slope at one end of the gap: between it and the interval beside it, else at the outer end of the line's segment."""
+    d = f"(((2 * {h} + {inward}) * {a} - {h} * {b_in}) / ({h} + {inward}))"
+    return f"CASE WHEN {beside} IS NOT NULL THEN {_HARMONIC.format(a=b_out, b=a, h=beside, k=h)} WHEN {inward} IS NOT NULL THEN {_OUTER.format(d=d, a=a, b=b_in)} ELSE {a} END"
+
+
 ORACLE = {
+    "p3_series": f"""
+WITH {_READINGS},
+w AS (SELECT *, lag(t) OVER w AS t0, lag(b) OVER w AS b0, lag(v) OVER w AS v0, lead(t) OVER w AS t2, lead(b) OVER w AS b2, lead(v) OVER w AS v2, lead(t, 2) OVER w AS t3, lead(b, 2) OVER w AS b3, lead(v, 2) OVER w AS v3 FROM r WINDOW w AS (PARTITION BY graph_id, line_no ORDER BY t)),
+k AS (SELECT *, (t2 - t) / 1e6 AS h1, CASE WHEN b - b0 - 1 <= {_MAX_GAP} THEN (t - t0) / 1e6 END AS h0, CASE WHEN b3 - b2 - 1 <= {_MAX_GAP} THEN (t3 - t2) / 1e6 END AS h2 FROM w WHERE b2 - b - 1 BETWEEN 1 AND {_MAX_GAP}),
+s AS (SELECT *, (v - v0) / h0 AS s0, (v2 - v) / h1 AS s1, (v3 - v2) / h2 AS s2 FROM k),
+c AS (SELECT *, {_slope('h1', 's1', 'h2', 's2', 'h0', 's0')} AS l, {_slope('h1', 's1', 'h0', 's0', 'h2', 's2')} AS q FROM s),
+x AS (SELECT *, unnest(range(b + 1, b2)) AS bucket FROM c),
+u AS (SELECT *, (bucket * step + step // 2 - t) / 1e6 / h1 AS u FROM x),
+filled AS (SELECT graph_id, line_no, bucket, v * (1 + 2 * u) * (1 - u) * (1 - u) + v2 * u * u * (3 - 2 * u) + h1 * u * (1 - u) * (l * (1 - u) - q * u) AS value FROM u),
+seen AS (SELECT graph_id, line_no, b AS bucket, count(*) AS n, avg(v) AS value FROM r GROUP BY graph_id, line_no, b)
+SELECT e.graph_id, CAST(e.line_no AS BIGINT) AS line_no, CAST(e.bucket AS BIGINT) AS bucket, coalesce(seen.n, 0) AS n_readings, round(coalesce(seen.value, filled.value), 6) + 0.0 AS value, CASE WHEN seen.n > 0 THEN 'read' WHEN filled.value IS NOT NULL THEN 'filled' ELSE 'absent' END AS status
+FROM every e LEFT JOIN seen ON (e.graph_id, e.line_no, e.bucket) = (seen.graph_id, seen.line_no, seen.bucket) LEFT JOIN filled ON (e.graph_id, e.line_no, e.bucket) = (filled.graph_id, filled.line_no, filled.bucket)""",
     "p3_found": """
 WITH g AS (SELECT DISTINCT graph_id, graph_start, buckets, CAST(round(graph_interval * 1e6) AS BIGINT) AS step, len(series) AS n FROM io_graph WHERE graph_start IS NOT NULL AND buckets > 0),
 f AS (SELECT l.graph_id, CAST(l.line_no AS BIGINT) AS line_no, epoch_us(l.ts) - epoch_us(g.graph_start) AS d, g.step, l.points FROM io_line l JOIN g USING (graph_id) WHERE l.ts IS NOT NULL),
