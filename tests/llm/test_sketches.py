@@ -34,11 +34,48 @@ def test_overlap(spark):
     assert abs(r.union_size - 60000) < 6000
 
 
+def _pairs(spark, n, first, second, shared):
+    """n pairs of sets of first and second items, of which shared are in both."""
+    every = spark.range(n * (first + second - shared)).select(F.expr(f"id div {first + second - shared}").alias("k"), F.expr(f"id % {first + second - shared}").alias("i"), "id")
+    one = setsketch.registers(every.where(F.col("i") < first), ["k"], F.col("id")).select("k", "register", F.col("level").alias("level_1"))
+    two = setsketch.registers(every.where(F.col("i") >= first - shared), ["k"], F.col("id")).select("k", "register", F.col("level").alias("level_2"))
+    return one.join(two, ["k", "register"], "full_outer")
+
+
+def test_errors_are_stated_rightly_over_many_pairs(spark):
+    """The spread of the estimates over 120 pairs is what their stated errors say, and so is the share beyond two errors."""
+    for first, second, shared in ((14_000, 14_000, 8_000), (3_000, 9_000, 600), (400, 300, 150)):
+        rows = setsketch.overlaps(_pairs(spark, 120, first, second, shared), ["k"]).collect()
+        union = first + second - shared
+        for name, true, error in (("size_1", first, "size_1_error"), ("size_2", second, "size_2_error"), ("union_size", union, "union_error"), ("intersection", shared, "intersection_error"), ("jaccard", shared / union, "jaccard_error")):
+            off = np.array([(getattr(r, name) - true) / getattr(r, error) for r in rows])
+            assert len(off) == 120 and abs(off.mean()) < 0.4, (name, first, off.mean())
+            assert 0.8 < off.std() < 1.25, (name, first, off.std())
+            assert (np.abs(off) > 2).mean() < 0.11, (name, first)
+
+
+def test_overlap_at_the_limits(spark):
+    """Equal sets, sets without a common item, a set in another, an empty set."""
+    for first, second, shared in ((5000, 5000, 5000), (5000, 4000, 0), (6000, 1000, 1000), (3, 3, 1)):
+        r = setsketch.overlaps(_pairs(spark, 1, first, second, shared), ["k"]).first()
+        assert abs(r.intersection - shared) <= 3.5 * max(r.intersection_error, 0.3), (first, r)
+        assert abs(r.union_size - (first + second - shared)) <= 3.5 * max(r.union_error, 0.3), (first, r)
+        assert 0 <= r.jaccard <= 1
+    only = spark.createDataFrame([(1, 5, 9, None), (2, 5, 0, None)], "k int, register int, level_1 int, level_2 int")
+    got = {r.k: r for r in setsketch.overlaps(only, ["k"]).collect()}
+    assert got[1].size_2 < 0.01 and got[1].intersection < 0.01 and got[1].size_1 > 0.9 and got[2].union_size == got[2].jaccard == 0
+    assert setsketch.overlaps(only.where("false"), ["k"]).count() == 0
+
+
 def test_rolled(spark):
     df = spark.createDataFrame([(1, "x", "p"), (1, "y", "q"), (2, "x", "p")], "b int, f string, item string")
     regs = setsketch.registers(df, ["b", "f"], F.col("item"))
-    got = setsketch.estimates(setsketch.rolled(regs, ["b", "f"], [["b", "f"], ["b"]]), ["b", "f"]).collect()
+    key = ["grouping_set", "b", "f"]
+    got = setsketch.estimates(setsketch.rolled(regs, ["b", "f"], [["b", "f"], ["b"]]), key).collect()
     assert sorted((r.b, r.f, r.rows, round(r.estimate)) for r in got) == [(1, "*", 2, 2), (1, "x", 1, 1), (1, "y", 1, 1), (2, "*", 1, 1), (2, "x", 1, 1)]
+    star = setsketch.registers(spark.createDataFrame([(1, "*", "p"), (1, "y", "q")], "b int, f string, item string"), ["b", "f"], F.col("item"))
+    got = setsketch.estimates(setsketch.rolled(star, ["b", "f"], [["b", "f"], ["b"]]), key).collect()
+    assert sorted((r.grouping_set, r.f, r.rows) for r in got) == [(0, "*", 1), (0, "y", 1), (1, "*", 2)]
 
 
 def test_sketch_bounds():

@@ -25,8 +25,9 @@ def _registers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_distinct(spark: SparkSession, folder: str) -> DataFrame:
-    """bucket, fixture, proto, rows, estimate, error of every group and combination of groups."""
-    return setsketch.estimates(setsketch.rolled(_registers(spark, folder), GROUPS, SETS), GROUPS)
+    """bucket, fixture, proto, rows, estimate, error of every group and combination of groups; grouping_set is 0 where all
+    three are grouped by, and tells a fixture named * from all fixtures."""
+    return setsketch.estimates(setsketch.rolled(_registers(spark, folder), GROUPS, SETS), ("grouping_set", *GROUPS))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
