@@ -103,3 +103,25 @@ def test_frequent(spark):
     assert all(r.at_least <= r.rows <= r.at_most and r.total == 13600 for r in by.values())
     assert {k for k, r in by.items() if r.rows >= 0.02 * r.total} == set(want)
     assert heavylight.frequent(df.where("false"), [F.col("a")], ["a"], 0.02).count() == 0
+
+
+def test_frequent_at_any_share(spark, monkeypatch):
+    """More values reach the share than there are counters: what the sketch cannot rule out is counted exactly."""
+    df = spark.range(60_000, numPartitions=4).select(F.concat(F.lit("v"), F.col("id") % 20_000).alias("a"))
+    got = heavylight.frequent(df, [F.col("a")], ["a"], 4e-5).collect()
+    assert len({r.value for r in got}) == 20_000 and {r.rows for r in got} == {3}
+    for name, n in (("BUCKETS", 16), ("MOST_BUCKETS", 16), ("WIDTH", 64), ("MOST_WIDTH", 64)):
+        monkeypatch.setattr(heavylight, name, n)
+    half = df.where("id % 3 < 2 or id % 20000 < 900")
+    got = heavylight.frequent(half, [F.col("a")], ["a"], 2.5 / 60_000).collect()
+    by = {r.value: r for r in got}
+    n = half.groupBy("a").count().where(f"count >= {2.5 / 60_000} * {got[0].total}").collect()
+    assert all(by[r.a].rows == r["count"] and by[r.a].at_least <= r["count"] <= by[r.a].at_most for r in n) and len(n) > 900
+
+
+def test_frequent_over_unlike_partitions(spark):
+    """A value that is hot in one partition only, after others filled its bucket, and values that never keep a counter."""
+    df = spark.range(400_000, numPartitions=8).select(F.when((F.spark_partition_id() == 5) & (F.col("id") % 3 > 0), F.lit("late")).otherwise(F.concat(F.lit("x"), F.col("id") % 90_000)).alias("a"))
+    true = df.where("a = 'late'").count()
+    got = {r.value: r for r in heavylight.frequent(df, [F.col("a")], ["a"], 0.05).collect()}
+    assert got["late"].rows == true and got["late"].at_least <= true <= got["late"].at_most and abs(got["late"].estimate - true) < 0.01 * true

@@ -4,7 +4,9 @@ Each task keeps, per column, buckets of a few exact counters and an array of com
 counter adds to it; one that finds a full bucket votes against it and is counted in the array, until the votes outweigh
 the bucket's weakest counter: then that value's count moves to the array and the newcomer takes its place. Tasks merge
 by bucket: equal values add up, each bucket keeps its highest counts, the others join the array. A value's exact counters
-bound its rows from below, and with its array counters from above.
+bound its rows from below, and with its array counters from above; a value without an exact counter has at most the rows of
+its array counters. Buckets and array grow with 1/share up to a fixed size, so a task's memory is bounded whatever the data;
+values that the sketch cannot rule out are counted exactly, however many they are.
 """
 
 from __future__ import annotations
@@ -18,15 +20,22 @@ from pyspark.sql import functions as F
 
 from tidewire.session import cut
 
-BUCKETS, SLOTS, WIDTH = 2048, 4, 1 << 14
+BUCKETS, MOST_BUCKETS, SLOTS = 1 << 11, 1 << 17, 4
+WIDTH, MOST_WIDTH = 1 << 14, 1 << 20
+BUCKETS_A_SHARE, WIDTH_A_SHARE = 8, 64  # buckets and counters for every value that can reach the share
 OUTVOTED = 8  # votes against, as a multiple of the weakest counter, that evict it
 BUFFER_ROWS = 1 << 20
-SKETCHES_PER_CORE = 4  # at most so many tasks, hence partial results, per core of the cluster
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+PLACE_BITS, BUCKET_BITS = (0, 40), 20  # where in a hash the positions in the array's rows and the bucket begin
+
+
+def dimensions(share: float) -> tuple[int, int]:
+    """Buckets and width, powers of two: at most MOST_BUCKETS x SLOTS x 16 + MOST_WIDTH x 16 bytes, 24 MB."""
+    fit = lambda least, most, wanted: min(max(least, 1 << int(np.ceil(np.log2(max(wanted, 1))))), most)
+    return fit(BUCKETS, MOST_BUCKETS, BUCKETS_A_SHARE / share), fit(WIDTH, MOST_WIDTH, WIDTH_A_SHARE / share)
 
 
 class Sketch:
-    """One column of one task. Values are 64-bit hashes; buckets and positions come from their upper bits."""
+    """One column of one task. Values are 64-bit hashes; bucket and positions come from different bits of them."""
 
     def __init__(self, buckets: int = BUCKETS, slots: int = SLOTS, width: int = WIDTH):
         self.width = width
@@ -36,7 +45,7 @@ class Sketch:
 
     def places(self, keys: np.ndarray) -> np.ndarray:
         """Positions in the two rows of the array."""
-        return np.stack([(keys * m >> np.uint64(33)) % np.uint64(self.width) for m in _MIX]).astype(np.int64)
+        return np.stack([keys >> np.uint64(b) & np.uint64(self.width - 1) for b in PLACE_BITS]).astype(np.int64)
 
     def to_light(self, keys: np.ndarray, n: np.ndarray) -> None:
         for row, at in zip(self.light, self.places(keys)):
@@ -44,7 +53,7 @@ class Sketch:
 
     def add(self, keys: np.ndarray, n: np.ndarray) -> None:
         """Distinct keys with their rows."""
-        at = (keys >> np.uint64(20)).astype(np.int64) % len(self.key)
+        at = (keys >> np.uint64(BUCKET_BITS) & np.uint64(len(self.key) - 1)).astype(np.int64)
         hit = (self.key[at] == keys[:, None]) & (self.n[at] > 0)
         own = hit.any(1)
         self.n[at[own], hit[own].argmax(1)] += n[own]
@@ -81,15 +90,13 @@ class Sketch:
 _SCHEMA = "kind int, heavy boolean, place bigint, key bigint, light_1 bigint, light_2 bigint, n bigint"
 
 
-def partials(df: DataFrame, values: Sequence[Column], width: int = WIDTH) -> DataFrame:
-    """The rows of every task's sketches; kind is the index in values. Nulls are not counted."""
+def partials(df: DataFrame, values: Sequence[Column], buckets: int = BUCKETS, width: int = WIDTH) -> DataFrame:
+    """The rows of the sketches of every input partition; kind is the index in values. Nulls are not counted."""
     hashed = df.select(*(F.when(v.isNotNull(), F.xxhash64(v)).alias(f"h{i}") for i, v in enumerate(values)))
-    hashed = hashed.coalesce(SKETCHES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
-
     columns = len(values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketches = [Sketch(width=width) for _ in range(columns)]
+        sketches = [Sketch(buckets, SLOTS, width) for _ in range(columns)]
         held: list[pa.RecordBatch] = []
 
         def flush() -> None:
@@ -115,9 +122,9 @@ def partials(df: DataFrame, values: Sequence[Column], width: int = WIDTH) -> Dat
     return hashed.mapInArrow(run, _SCHEMA)
 
 
-def merged(parts: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(kind, key, at_least, at_most) of the values that kept a counter, at most buckets x slots per kind; (kind, rows,
-    unlisted) with the exact number of rows counted and a bound on the rows of any value not listed."""
+def merged(parts: DataFrame, width: int = WIDTH, slots: int = SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kind, key, at_least, at_most) of the values that kept a counter, at most buckets x slots per kind; (kind, place, n)
+    of the array; (kind, total), the exact number of rows counted."""
     p = cut(parts.groupBy("kind", "heavy", "place", "key", "light_1", "light_2").agg(F.sum("n").alias("n")))
     heavy = p.where("heavy").withColumn("r", F.row_number().over(Window.partitionBy("kind", "place").orderBy(F.desc("n"), "key")))
     keep = heavy.where(F.col("r") <= slots)
@@ -127,29 +134,32 @@ def merged(parts: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     known = keep.join(at("light_1"), ["kind", "light_1"], "left").join(at("light_2"), ["kind", "light_2"], "left")
     more = F.least(F.coalesce("light_1_n", F.lit(0)), F.coalesce("light_2_n", F.lit(0)))
     known = known.select("kind", "key", F.col("n").alias("at_least"), (F.col("n") + more).alias("at_most"))
-    # each row is in one exact counter or in both rows of the array
-    total = keep.select("kind", "n", F.lit(0).cast("bigint").alias("top")).unionByName(light.select("kind", (F.col("n") / 2).alias("n"), F.col("n").alias("top")))
-    total = total.groupBy("kind").agg(F.round(F.sum("n")).cast("bigint").alias("rows"), F.max("top").alias("unlisted"))
-    return known, total
+    # each row is in one exact counter or in either row of the array
+    total = p.where(F.col("heavy") | (F.col("place") < width)).groupBy("kind").agg(F.sum("n").alias("total"))
+    return known, light, total
 
 
 def frequent(df: DataFrame, values: Sequence[Column], names: Sequence[str], share: float) -> DataFrame:
-    """kind STRING (of names), value STRING, rows, at_least, at_most, total: every value with at least this share of its
-    column's rows that are not null, and some below it; total is the number of those rows.
-
-    The sketch is made anew with a wider array while a value that is not listed could still reach the share. The listed
-    values, at most 1/share of which can pass, are then counted exactly in one more pass over the column, which also
-    turns hashes back into values. Ties are all kept; an empty table or a column of nulls gives no rows."""
-    for width in (WIDTH << 2 * i for i in range(4)):
-        known, total = merged(partials(df, values, width))
-        known, total = cut(known), cut(total)
-        if not total.where(F.col("unlisted") >= share * F.col("rows")).take(1):
-            break
-    else:
-        raise ValueError(f"a share of {share} is too small for {BUCKETS * SLOTS} counters")
-    total = total.select("kind", F.col("rows").alias("total"))
-    asked = known.join(F.broadcast(total), "kind").where(F.col("at_most") >= share * F.col("total"))  # one row per kind; then at most BUCKETS x SLOTS
-    rows = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.xxhash64(v).alias("key"), v.cast("string").alias("value")) for i, v in enumerate(values)))).alias("x")).select("x.*").where("value is not null")
-    exact = rows.join(F.broadcast(asked), ["kind", "key"]).groupBy("kind", "value", "at_least", "at_most", "total").agg(F.count("*").alias("rows"))
+    """kind STRING (of names), value STRING, rows, estimate, at_least, at_most, total: every value with at least this share of
+    its column's rows that are not null, and some below it; total is the number of those rows.
+
+    estimate, at_least and at_most are the sketch's; estimate is the middle of the bounds. rows is the exact count of one more
+    pass over the column, which also turns hashes back into values. It counts the values that kept a counter and may reach
+    the share (at most MOST_BUCKETS x SLOTS a column, broadcast), and any value both of whose array counters reach the share (at most
+    1/share counters in either row of the array), so nothing that reaches the share is missed at any share.
+    Ties are all kept; an empty table or a column of nulls gives no rows."""
+    buckets, width = dimensions(share)
+    known, light, total = merged(partials(df, values, buckets, width), width)
+    total = F.broadcast(total)  # one row per kind
+    asked = known.join(total, "kind").where(F.col("at_most") >= share * F.col("total")).select("kind", "key", "at_least", "at_most")
+    hot = light.join(total, "kind").where(F.col("n") >= share * F.col("total"))
+    beside = lambda i: F.broadcast(hot.where(F.expr(f"place div {width} = {i}")).select("kind", (F.col("place") - i * width).alias(f"place_{i}"), F.col("n").alias(f"most_{i}")))
+    one = lambda i, v: F.struct(F.lit(i).alias("kind"), F.xxhash64(v).alias("key"), v.cast("string").alias("value"))
+    rows = df.select(F.explode(F.array(*(one(i, v) for i, v in enumerate(values)))).alias("x")).select("x.*").where("value is not null")
+    rows = rows.withColumns({f"place_{i}": F.shiftrightunsigned("key", b).bitwiseAND(F.lit(width - 1)) for i, b in enumerate(PLACE_BITS)})
+    rows = rows.join(F.broadcast(asked), ["kind", "key"], "left").join(beside(0), ["kind", "place_0"], "left").join(beside(1), ["kind", "place_1"], "left")
+    rows = rows.where("at_least is not null or (most_0 is not null and most_1 is not null)")
+    low, high = F.coalesce("at_least", F.lit(0)), F.coalesce("at_most", F.least("most_0", "most_1"))
+    exact = rows.groupBy("kind", "value", low.alias("at_least"), high.alias("at_most")).agg(F.count("*").alias("rows")).join(total, "kind")
     name = F.element_at(F.array(*map(F.lit, names)), F.col("kind") + 1)
-    return exact.select(name.alias("kind"), "value", "rows", "at_least", "at_most", "total")
+    return exact.select(name.alias("kind"), "value", "rows", F.expr("(at_least + at_most) div 2").alias("estimate"), "at_least", "at_most", "total")
