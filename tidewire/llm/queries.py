@@ -64,24 +64,24 @@ def p6_offsets(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"), "text", ["doc_id"], offsets=True)
 
 
-def _plan(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _limits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     size = mixture.sizes(table(spark, folder, "documents"))
-    return size, mixture.plan(size, table(spark, folder, "mix_target"))
+    return size, mixture.thresholds(size, mixture.plan(mixture.histogram(size), table(spark, folder, "mix_target")))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _plan(spark, folder)[1].where("short").select("source")
+    """The sources whose target no hash threshold meets within their repeats."""
+    hist = mixture.histogram(mixture.sizes(table(spark, folder, "documents"), written=False))
+    return mixture.plan(hist, table(spark, folder, "mix_target")).where("short").select("source")
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, source, tokens, repeats of the documents in the mixture."""
-    size, plan = _plan(spark, folder)
-    return mixture.mixed(size, mixture.thresholds(size, plan)).select("doc_id", "source", "tokens", "repeats")
+    return mixture.mixed(*_limits(spark, folder)).select("doc_id", "source", "tokens", "repeats")
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    size, plan = _plan(spark, folder)
-    limits = mixture.thresholds(size, plan)
+    size, limits = _limits(spark, folder)
     return mixture.shares(mixture.mixed(size, limits), limits)
 
 
