@@ -7,6 +7,7 @@ and neighbouring classes, all vectorised over many texts at once.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -18,28 +19,26 @@ SENTINEL = 0x110000
 TRANSITIONS = np.array([[L] * 7, [N] * 7, [O] * 7, [SP] * 7, [WS] * 7, [END] * 7, [C, C, O, O, C, C, C]], np.uint8)
 
 
+#: White space of Unicode; fixed values
+_WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Letters and numbers of Unicode 16.0, first and last of each run, for Pythons whose own tables are older; fixed values
+_LETTERS_16 = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)]
+_NUMBERS_16 = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+
+
 @lru_cache(maxsize=1)
 def class_runs() -> tuple[np.ndarray, np.ndarray]:
-    """(first code points, classes) of the runs of equal class, as the installed tokenizer library sees them: its runs over
-    all code points in order, one member of each probed. Made once in the driver; workers get the runs."""
-    from tokenizers import pre_tokenizers
-
-    split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-    points = np.array([c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000], np.int64)
-    blank = np.array([chr(c).isspace() or c == 39 for c in points.tolist()])
-    starts = np.zeros(len(points), bool)
-    starts[[a for _, (a, _) in split("".join(map(chr, points)))]] = True
-    starts |= blank
-    starts[1:] |= blank[:-1] | (np.diff(points) > 1)
-    first = points[starts]
-    kind = np.full(len(first), WS, np.uint8)
-    at = 3 * np.arange(1, len(first) + 1) - 1 + np.arange(len(first))
-    for code, lead in ((O, "!"), (N, "1"), (L, "a")):
-        found = np.array([a for _, (a, _) in split("".join(f"\n\n{lead}{chr(c)}" for c in first))])
-        kind[~np.isin(at + 1, found)] = code
-    kind[first == 32] = SP
-    keep = np.r_[True, kind[1:] != kind[:-1]]
-    return np.r_[0, first[keep]].astype(np.int32), np.r_[np.uint8(O), kind[keep]]
+    """(first code points, classes) of the runs of equal class, by general category. Made once in the driver; workers get
+    the runs."""
+    first_letter = [unicodedata.category(chr(c))[0] for c in range(SENTINEL)]
+    kind = np.array([{"L": L, "N": N}.get(k, O) for k in first_letter], np.uint8)
+    for code, runs in ((L, _LETTERS_16), (N, _NUMBERS_16)):
+        for a, b in runs:
+            kind[a : b + 1] = code
+    kind[_WHITE] = WS
+    kind[32] = SP
+    first = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
+    return first.astype(np.int32), kind[first]
 
 
 def class_table(runs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
