@@ -11,8 +11,10 @@ _NUMBER = re.compile(r"(?:^|\n)[^\S\n]*\d+[^\S\n]*\s*$")
 _MARKUP = re.compile(r"<[^<>\n]{1,80}>|\{[^{}\n]{1,80}\}|&[a-z]{2,6};")
 _SOUND = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|[♪♫][^♪♫\n]*[♪♫]|(?<!\*)\*[^*\n]+\*(?!\*)|[♪♫]")
 _SPEAKER = re.compile(r"^[\s\-–—]*(?:[^\W\d_][\w.'’]*(?: [\w.'’]+){0,2}):(?=\s)", re.M)
-#: What an advert says, in texts folded by squeezed(): addresses, credits and offers.
-ADVERT = re.compile(r"\w{3}\.example|www\.|https?:|@\w+\.|subtit[il]+es?by|sync(?:ed)?andcorr|correctedby|vpn|stream.?code|casin[o0]|cashb|b[o0]nusw|advert[il]se|pr[o0]ducthere|downl[o0]ad|freeinst|playerapp|n[o0]virus!|supportusand|vipmem|rem[o0]veal+ads|cheapfl|save\d|yourbankcard|-=")
+#: A web or mail address: with its scheme, www or @, blanks between its letters or not; or a name and an ending in small letters.
+_ADDRESS_SQUEEZED = re.compile(r"https?:|www\.\w|\w@\w+\.\w")
+_ADDRESS = re.compile(r"[^\W_]{3,}\.[a-z]{2,}")
+ADDRESS = "@"  # what stands for an address among the words of a cue
 WORD = re.compile(r"[^\W_]+")
 _GARBLED = re.compile("[Â-ÃÅÐ-Ñâ][\u0080-¿Œ-žˆ˜–-•…-›€™]")
 _CYRILLIC_AS_LATIN = re.compile("[À-ÿ]{3}")
@@ -66,13 +68,17 @@ def split_cues(text: str) -> list[str]:
     return [_NUMBER.sub("", p) if i < len(parts) - 1 else p for i, p in enumerate(parts)]
 
 
+def has_address(plain: str) -> bool:
+    return bool(("." in plain and (_ADDRESS.search(plain) or _ADDRESS_SQUEEZED.search(squeezed(plain)))) or "://" in plain)
+
+
 def speech(cue: str) -> list[str] | None:
-    """The words said in a cue, in lower case; None if it holds no speech (a sound description, an advert, nothing)."""
+    """The words of a cue, in lower case, and ADDRESS first if it has an address; None if nobody says anything in it (a sound
+    description, nothing)."""
     plain = _MARKUP.sub("", cue)
-    if ADVERT.search(squeezed(plain)):
-        return None
+    address = [ADDRESS] if has_address(plain) else []
     plain = unicodedata.normalize("NFKC", _SPEAKER.sub("", _SOUND.sub(" ", plain)))
     words = WORD.findall("".join(c for c in plain if unicodedata.category(c) not in ("Cf", "Mn")) if not plain.isascii() else plain)
     if any(any(map(str.isalpha, w)) for w in words):
-        return [w.lower() for w in words]
-    return [] if "???" in plain else None  # letters that were lost
+        return address + [w.lower() for w in words]
+    return address or ([] if "???" in plain else None)  # letters that were lost
