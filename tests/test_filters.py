@@ -90,3 +90,26 @@ def test_unsigned_numbers(spark):
         for op, f in (("==", int.__eq__), ("!=", int.__ne__), ("<", int.__lt__), ("<=", int.__le__), (">", int.__gt__), (">=", int.__ge__)):
             got = [r[0] for r in df.select(F.coalesce(_value(FIELDS["http.content_length"], op, F.col("u"), lit), F.lit(None))).collect()]
             assert got == [f(v, lit) for v in n], (op, lit)
+
+
+@pytest.mark.parametrize(
+    "pattern,yes,no",
+    [
+        ("a[$]b", ["a$b"], ["ab", "a"]), ("end$", ["the end"], ["end\n", "ends"]), ("(?m)end$", ["the end\nof", "end"], ["ends"]), ("(?m:end$)|x$", ["end\n.", "x"], ["x\n"]), (r"\$5", ["$5"], ["5"]),
+        ("[[:digit:]]{2}$", ["a42"], ["4a"]), ("[]x]", ["]", "x"], ["["]), (r"\p{Lu}\d", ["A1"], ["a1"]), ("(?P<one_two>a)b", ["ab"], ["b"]), (r"\x{41}", ["A"], ["B"]), (r"[\]$]$", ["]", "a$"], ["$a"]),
+    ],
+)
+def test_patterns_as_they_are_written(spark, pattern, yes, no):
+    from tidewire.filters.language import _pattern
+
+    df = spark.createDataFrame([(x,) for x in yes + no], "s string")
+    got = [r[0] for r in df.where(F.rlike("s", F.lit("(?dU)" + _pattern(pattern, 0, 1)))).collect()]
+    assert sorted(got) == sorted(yes)
+
+
+@pytest.mark.parametrize("pattern", ["(", "[a", "a)", "*", "a\\", "(?=a)", r"(a)\1", "[b-a]"])
+def test_patterns_that_are_refused(pattern):
+    from tidewire.filters.language import FilterError, _pattern
+
+    with pytest.raises(FilterError):
+        _pattern(pattern, 0, 1)

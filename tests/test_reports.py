@@ -81,6 +81,25 @@ def test_follow(spark, frames):
     assert b"".join(bytes(x.bytes) for x in f if x.side.port == 80).endswith(b"ABCDEFGHIJ") and sum(x.gap for x in f) == 0
 
 
+def test_follow_blocks_udp_and_both_directions(spark, monkeypatch):
+    monkeypatch.setattr(reports, "SEQUENCE_BLOCK", 16)
+    r = random.Random(7)
+    rows = [(r.randrange(2), n, (2**32 - 50 + r.randrange(200)) % 2**32, bytes(r.randrange(256) for _ in range(r.randint(1, 40)))) for n in range(80)]
+    df = spark.createDataFrame([("c", 1, *x) for x in rows], "capture_id string, stream_id int, side int, number int, seq bigint, payload binary")
+    assert sorted((x.side, x.number, x.gap, bytes(x.bytes)) for x in reports.follow(df).collect()) == brute_follow(rows)
+    udp = spark.createDataFrame([("c", 2, s, n, None, p) for s, n, p in (("b", 4, b"hello"), ("a", 5, b"yes"), ("b", 6, b"hello"), ("b", 7, b""))], "capture_id string, stream_id int, side string, number int, seq bigint, payload binary")
+    t = reports.transcript(udp)
+    assert [(x.direction, x.number, x.gap, bytes(x.bytes)) for x in reports.transcript_order(t).collect()] == [(0, 4, 0, b"hello"), (1, 5, 0, b"yes"), (0, 6, 0, b"hello")]
+    assert sorted((x.direction, x.frames, x.payload, x.bytes, x.missing) for x in reports.transcript_totals(udp, t).collect()) == [(0, 2, 10, 10, 0), (1, 1, 3, 3, 0)]
+
+
+def test_marks_of_several_captures(spark):
+    df = spark.createDataFrame([(c, n) for c in "xy" for n in (1, 2)], "capture_id string, number bigint")
+    got = lambda **k: sorted(tuple(r) for r in reports.exported(df, **k).collect())
+    assert got(what="marked", marks=df.where("capture_id = 'x' and number = 2")) == [("x", 2)]
+    assert got(what="selected", number=1, capture="y") == [("y", 1)] and len(got(what="selected", number=1)) == 2
+
+
 def test_times_blocks_and_ring(spark, monkeypatch):
     monkeypatch.setattr(reports, "BLOCK", 3)
     ns = [50, 40, 90, 95, 96, 10, 200, 201]
@@ -102,7 +121,14 @@ def test_io_graph_and_series_errors(spark):
 def test_search(frames):
     n = lambda d: sorted(r.number for r in d.select("number").collect())
     assert n(reports.find_text(frames, "who HAS")) == [14] and n(reports.find_text(frames, "example.com", "details")) == [11]
-    assert n(reports.find_bytes(frames, reports.hex_needle("30:31 32-33"))) == [7, 10] and n(reports.find_text(frames, "get /two", "bytes")) == [16]
+    assert n(reports.find_bytes(frames, reports.hex_needle("30:31 32-33"))) == [7, 10] and n(reports.find_text(frames, "GET /two", "bytes")) == [16] and n(reports.find_text(frames, "get /two", "bytes")) == []
+    one = frames.where(F.length("src") == 4).orderBy("number").first()
+    source = n(frames.where(F.col("src") == F.lit(bytes(one.src))))
+    assert source and set(source) <= set(n(reports.find_text(frames, ".".join(map(str, bytes(one.src)))))) and n(reports.find_text(frames, "tcp10.0")) == []
+    assert n(reports.find_bytes(frames, b"who has", "details")) == n(reports.find_bytes(frames, b"nowhere", "list")) == []
+    assert n(reports.find_bytes(frames, b"Who has", "list")) == [14] and n(reports.find_text(frames, "don't fragment: ", "details")) != []
+    with pytest.raises(ValueError):
+        reports.find_text(frames, "x", "tree")
     with pytest.raises(ValueError):
         reports.hex_needle("abc")
     hits = frames.where("number in (3, 9)")

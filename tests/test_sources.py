@@ -78,6 +78,17 @@ def test_pcapng_policies():
         formats.read(section + iface() + b(6, struct.pack("<IIIII", 0, 0, 0, 99, 99)))
 
 
+def test_saved_captures_keep_their_names_apart(spark, raw, tmp_path):
+    ids = ["d/cap.1.pcap", "d/cap.2.pcap", "e/cap.1.pcap", "E\\CAP.1", None]
+    df = raw.where("number <= 2").drop("capture_id").crossJoin(spark.createDataFrame([(i,) for i in ids], "capture_id string"))
+    report = {r.capture_id: r for r in capture.save(df, str(tmp_path), "pcap").collect()}
+    assert set(report) == set(ids) and len({r.path for r in report.values()}) == 5 and report["d/cap.2.pcap"].path.endswith("cap.2.pcap")
+    assert all(len(formats.read(open(r.path, "rb").read()).packets) == 2 == r.frames for r in report.values())
+    with pytest.raises(FileExistsError):
+        capture.save(df, str(tmp_path), "pcap")
+    assert len(capture.save(df, str(tmp_path), "pcap", overwrite=True).collect()) == 5
+
+
 def test_unreadable_file_is_described(spark, tmp_path):
     (tmp_path / "x.pcap").write_bytes(b"\x1f\x8b....")
     d = capture.describe(spark, str(tmp_path)).first()

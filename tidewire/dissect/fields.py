@@ -100,7 +100,42 @@ def enum_name(table: str, value: int, default: str = "Unknown") -> str:
     return ENUMS[table].get(value, default)
 
 
+#: labels by the last part of a name, whatever the protocol; fixed values
+LAST = {
+    "status": "Checksum Status", "type": "Type", "etype": "Type", "len": "Length", "length": "Length", "nxt": "Next Header", "hdr_len": "Header Length",
+    "src": "Source Address", "dst": "Destination Address", "srcport": "Source Port", "dstport": "Destination Port", "stream": "Stream index",
+    "opt": "Option", "ptr": "Pointer", "ident": "Identification", "mtu": "MTU", "id": "ID", "dei": "DEI", "dsap": "DSAP", "ssap": "SSAP", "z": "Z",
+    "target_address": "Target Address", "destination_address": "Destination Address", "router_alert": "Router Alert", "option_len": "Length", "option_kind": "Kind",
+    "hw_mac": "hardware address", "cname": "CNAME", "txt": "TXT", "uri": "URI", "dhcp": "DHCP", "user_agent": "User-Agent",
+}
+#: labels of fields whose names do not tell them; fixed values
+OWN = {
+    "frame.number": "Frame Number", "frame.time_epoch": "Epoch Time", "frame.len": "Frame Length", "frame.cap_len": "Capture Length", "frame.encap_type": "Encapsulation type", "frame.protocols": "Protocols in frame",
+    "_ws.expert": "Expert Info", "_ws.checksum.bad": "Bad checksum", "_ws.expert.severity": "Severity level", "_ws.malformed": "Malformed Packet",
+    "null": "Null/Loopback", "eth": "Ethernet II", "eth.dst": "Destination", "eth.src": "Source", "vlan": "802.1Q Virtual LAN",
+    "llc": "Logical-Link Control", "llc.control": "Control field", "llc.oui": "Organization Code", "llc.pid": "Protocol ID",
+    "arp": "Address Resolution Protocol", "arp.hw.type": "Hardware type", "arp.proto.type": "Protocol type", "arp.hw.size": "Hardware size", "arp.proto.size": "Protocol size", "arp.src.hw_mac": "Sender MAC address", "arp.src.proto_ipv4": "Sender IP address", "arp.dst.hw_mac": "Target MAC address", "arp.dst.proto_ipv4": "Target IP address", "arp.src.hw": "Sender hardware address", "arp.src.proto": "Sender protocol address", "arp.dst.hw": "Target hardware address", "arp.dst.proto": "Target protocol address",
+    "ip": "Internet Protocol Version 4", "ip.dsfield": "Differentiated Services Field", "ip.dsfield.dscp": "Differentiated Services Codepoint", "ip.dsfield.ecn": "Explicit Congestion Notification", "ip.len": "Total Length", "ip.len_tso": "Segmentation offload", "ip.id": "Identification", "ip.flags.rb": "Reserved bit", "ip.flags.df": "Don't fragment", "ip.flags.mf": "More fragments", "ip.frag_offset": "Fragment Offset", "ip.ttl": "Time to Live", "ip.proto": "Protocol", "ip.checksum": "Header Checksum", "ip.checksum.status": "Header checksum status", "ip.opt.data": "Option data", "ip.opt.ra": "Router Alert", "ip.opt.route": "Route address", "ip.fragment": "IPv4 Fragment", "ip.fragments": "IPv4 Fragments", "ip.fragment.count": "Fragment count", "ip.reassembled.length": "Reassembled IPv4 length", "ip.reassembled.data": "Reassembled IPv4 data",
+    "ipv6": "Internet Protocol Version 6", "ipv6.tclass": "Traffic Class", "ipv6.flow": "Flow Label", "ipv6.plen": "Payload Length", "ipv6.hlim": "Hop Limit", "ipv6.hopopts": "Hop-by-Hop Options", "ipv6.dstopts": "Destination Options", "ipv6.routing": "Routing Header", "ipv6.routing.segleft": "Segments Left", "ipv6.routing.data": "Type-specific data", "ipv6.routing.addr": "Address", "ipv6.fraghdr": "Fragment Header", "ipv6.fraghdr.nxt": "Next header", "ipv6.fraghdr.more": "More Fragments",
+    "icmp": "Internet Control Message Protocol", "icmp.ident": "Identifier", "icmp.seq": "Sequence Number", "icmp.mtu": "MTU of next hop", "icmp.gateway": "Gateway Address",
+    "icmpv6": "Internet Control Message Protocol v6", "icmpv6.echo.sequence_number": "Sequence", "icmpv6.nd.na.flag": "Flags", "icmpv6.nd.na.flag.r": "Router", "icmpv6.nd.na.flag.s": "Solicited", "icmpv6.nd.na.flag.o": "Override", "icmpv6.nd.ra.flag": "Flags", "icmpv6.nd.ra.flag.m": "Managed address configuration", "icmpv6.nd.ra.flag.o": "Other configuration", "icmpv6.nd.ra.router_lifetime": "Router lifetime (s)", "icmpv6.nd.ra.reachable_time": "Reachable time (ms)", "icmpv6.nd.ra.retrans_timer": "Retrans timer (ms)", "icmpv6.opt": "ICMPv6 Option", "icmpv6.opt.linkaddr": "Link-layer address", "icmpv6.opt.prefix.length": "Prefix Length", "icmpv6.opt.prefix.valid_lifetime": "Valid Lifetime", "icmpv6.opt.prefix.preferred_lifetime": "Preferred Lifetime",
+    "udp": "User Datagram Protocol", "udp.payload": "UDP payload",
+    "tcp": "Transmission Control Protocol", "tcp.analysis": "SEQ/ACK analysis", "tcp.analysis.out_of_order": "Out-of-order segment", "tcp.analysis.overlap": "Overlapping segment", "tcp.analysis.lost_segment": "Previous segment not captured", "tcp.analysis.duplicate_ack": "Duplicate ACK", "tcp.analysis.duplicate_ack_num": "Duplicate ACK number", "tcp.analysis.duplicate_ack_frame": "Duplicate to the ACK in frame", "tcp.analysis.keep_alive": "Keep-alive", "tcp.analysis.ack_lost_segment": "ACK to an uncaptured segment", "tcp.len": "TCP Segment Len", "tcp.seq": "Sequence Number (raw)", "tcp.ack": "Acknowledgment Number (raw)", "tcp.flags.res": "Reserved", "tcp.flags.ae": "Accurate ECN", "tcp.flags.cwr": "Congestion Window Reduced", "tcp.flags.ece": "ECN-Echo", "tcp.flags.urg": "Urgent", "tcp.flags.ack": "Acknowledgment", "tcp.flags.syn": "Syn", "tcp.flags.fin": "Fin", "tcp.window_size_value": "Window", "tcp.urgent_pointer": "Urgent Pointer", "tcp.options.eol": "End of Option List (EOL)", "tcp.options.nop": "No-Operation (NOP)", "tcp.options.mss": "Maximum segment size", "tcp.options.mss_val": "MSS Value", "tcp.options.wscale": "Window scale", "tcp.options.wscale.shift": "Shift count", "tcp.options.sack_perm": "SACK permitted", "tcp.options.sack": "SACK", "tcp.options.sack_le": "SACK Left Edge", "tcp.options.sack_re": "SACK Right Edge", "tcp.options.timestamp": "Timestamps", "tcp.options.timestamp.tsval": "Timestamp value", "tcp.options.timestamp.tsecr": "Timestamp echo reply", "tcp.options.unknown": "Unknown option", "tcp.options.data": "Option data", "tcp.payload": "TCP payload",
+    "dns": "Domain Name System", "dns.id": "Transaction ID", "dns.flags.recdesired": "Recursion desired", "dns.flags.recavail": "Recursion available", "dns.flags.authenticated": "Answer authenticated", "dns.flags.checkdisable": "Non-authenticated data", "dns.flags.rcode": "Reply code", "dns.count.queries": "Questions", "dns.count.answers": "Answer RRs", "dns.count.auth_rr": "Authority RRs", "dns.count.add_rr": "Additional RRs", "dns.authority": "Authoritative nameservers", "dns.additional": "Additional records", "dns.qry": "Query", "dns.resp": "Resource record", "dns.resp.ttl": "Time to live", "dns.resp.len": "Data length", "dns.a": "Address", "dns.aaaa": "AAAA Address", "dns.ns": "Name Server",
+    "dhcp": "Dynamic Host Configuration Protocol", "http": "Hypertext Transfer Protocol", "http.response.code": "Status Code", "http.content_type": "Content-Type", "http.content_length": "Content-Length", "http.transfer_encoding": "Transfer-Encoding", "tls": "Transport Layer Security",
+}
+#: words of names as labels write them; fixed values
+WORDS = {"ip": "IP", "id": "ID", "dhcp": "DHCP", "ntp": "NTP", "alpn": "ALPN", "mac": "MAC", "ttl": "TTL", "str": "String", "len": "Length", "comp": "Compression", "ciphersuite": "Cipher Suite", "ciphersuites": "Cipher Suites", "desc": "Description", "hostname": "Host Name", "app": "Application", "max": "Maximum"}
+#: protocols and groups whose fields' labels are written with capitals throughout
+_TITLES = ("dhcp.option.", "http.", "tls.", "dns.soa.", "dns.ptr.", "dns.mx.")
+
+
 def label(field: str) -> str:
-    """A field's label, from its name."""
-    last = field.rsplit(".", 1)[-1].replace("_", " ")
-    return last.upper() if len(last) <= 4 else last.capitalize()
+    """A field's label: stated for it or for the last part of its name, else the words of that part."""
+    if field in OWN:
+        return OWN[field]
+    last = field.rsplit(".", 1)[-1]
+    if last in LAST:
+        return LAST[last]
+    words = [WORDS.get(w, w) for w in last.removeprefix("extensions_").split("_")]
+    return " ".join(w[:1].upper() + w[1:] if not i or field.startswith(_TITLES) else w for i, w in enumerate(words))

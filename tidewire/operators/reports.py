@@ -12,10 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.dissect import stage
+from tidewire.dissect import labels, stage
 from tidewire.dissect.headers import headers
 from tidewire.filters.compiler import compile_filter
 from tidewire.filters.language import FilterError
+from tidewire.functions.text import addr_text
 
 BLOCK = 1 << 20
 CHUNK_FRAMES, RING_FRAMES, RING_BYTES = 4096, 1_000_000, 2 << 30  # fixed values
@@ -213,15 +214,27 @@ def find(hits: DataFrame, start: int, forward: bool = True) -> DataFrame:
     return hits.groupBy("capture_id").agg(best.alias("number"))
 
 
-def find_text(frames: DataFrame, text: str, scope: str = "list", fold: bool = True) -> DataFrame:
-    """Frames that hold a text in the packet list (`list`), in the tree's texts and values (`details`) or in their bytes (`bytes`)."""
+SCOPES = ("list", "details", "bytes")
+
+
+def _found(frames: DataFrame, needle: bytes, scope: str, fold: bool, text: bool) -> DataFrame:
+    """Frames that hold the needle in the packet list, in the tree's lines or in their bytes."""
+    if scope not in SCOPES:
+        raise ValueError(f"a search is in one of {SCOPES}")
+    if scope == "bytes":
+        return frames.where(F.exists("sources", lambda s: F.contains(s, F.lit(needle))))
     low = (lambda c: F.lower(c)) if fold else (lambda c: c)
-    needle = F.lit(text.lower() if fold else text)
     if scope == "list":
-        return frames.where(F.contains(low(F.concat_ws(" ", F.col("number"), "protocol", "info")), needle))
-    if scope == "details":
-        return frames.where(F.exists("nodes", lambda n: F.contains(low(F.concat_ws(" ", n["field"], n["text"], n["s"], n["u"].cast("string"))), needle)))
-    return frames.where(F.exists("sources", lambda s: F.contains(low(F.decode(s, "ISO-8859-1")), F.lit(text.encode().decode("latin-1").lower() if fold else text.encode().decode("latin-1")))))
+        columns = [addr_text(F.col("src")), addr_text(F.col("dst")), F.col("protocol"), F.col("info")] if text else [F.col("info")]
+        return frames.where(reduce(lambda a, b: a | b, (F.coalesce(F.contains(F.encode(low(c), "UTF-8"), F.lit(needle)), F.lit(False)) for c in columns)))
+    return labels.with_lines(frames).where(F.exists("__lines", lambda x: F.contains(F.encode(low(x), "UTF-8"), F.lit(needle)))).drop("__lines")
+
+
+def find_text(frames: DataFrame, text: str, scope: str = "list", fold: bool = True) -> DataFrame:
+    """Frames that hold a text in one of the packet list's columns source, destination, protocol and info (`list`), in a line
+    of their tree (`details`), or as its own UTF-8 bytes in theirs (`bytes`, where case counts). fold: case does not count."""
+    fold = fold and scope != "bytes"
+    return _found(frames, (text.lower() if fold else text).encode(), scope, fold, True)
 
 
 def hex_needle(text: str) -> bytes:
@@ -232,37 +245,50 @@ def hex_needle(text: str) -> bytes:
     return bytes.fromhex(digits)
 
 
-def find_bytes(frames: DataFrame, needle: bytes) -> DataFrame:
-    return frames.where(F.exists("sources", lambda s: F.contains(s, F.lit(needle))))
+def find_bytes(frames: DataFrame, needle: bytes, scope: str = "bytes") -> DataFrame:
+    """Frames that hold bytes in their own bytes, in the packet list's info (`list`) or in a line of their tree (`details`)."""
+    return _found(frames, needle, scope, False, False)
 
 
-def exported(frames: DataFrame, what: str = "all", predicate: Column | None = None, number: int | None = None, marks: DataFrame | None = None) -> DataFrame:
-    """The frames of an export set: all, displayed (by predicate), selected (one number) or marked (numbers in marks)."""
+def exported(frames: DataFrame, what: str = "all", predicate: Column | None = None, number: int | None = None, marks: DataFrame | None = None, capture: str | None = None) -> DataFrame:
+    """The frames of an export set: all, displayed (by predicate), selected (one number of a capture) or marked (capture_id and
+    number in marks). A number alone selects nothing sure where there are several captures: capture then names one."""
     if what == "displayed":
         return frames.where(predicate)
     if what == "selected":
-        return frames.where(F.col("number") == number)
+        one = F.col("number") == number
+        return frames.where(one if capture is None else one & (F.col("capture_id") == capture))
     if what == "marked":
-        return frames.join(marks.select("number").distinct(), "number", "left_semi")
+        return frames.join(marks.select("capture_id", "number").distinct(), ["capture_id", "number"], "left_semi")
     return frames
 
 
+SEQUENCE_BLOCK = 1 << 20  # bytes of sequence space swept by one task
+
+
 def follow(segments: DataFrame) -> DataFrame:
-    """The bytes of TCP streams in order. segments: capture_id, stream_id, side, number, seq, payload (BINARY).
+    """The bytes of streams in order. segments: capture_id, stream_id, side, number, seq, payload (BINARY).
 
     capture_id, stream_id, side, number, gap, bytes: what each segment adds; bytes seen before are dropped, the first seen
-    win, and gap counts the bytes missing before it. Sequence numbers count from each side's first segment.
+    win, and gap counts the bytes missing before it. Sequence numbers count from each side's first segment. Segments without
+    seq (UDP) have no order but that of their numbers: each adds its whole payload and misses nothing. Empty payloads add
+    nothing. A side of any length goes by blocks of sequence space, each of which knows how far the blocks before it reach.
     """
     side = ["capture_id", "stream_id", "side"]
-    s = segments.where(F.length("payload") > 0)
+    s = segments.where(F.length("payload") > 0).select(*side, "number", "seq", "payload")
+    plain = s.where("seq is null").select(*side, "number", F.lit(0).cast("bigint").alias("gap"), F.col("payload").alias("bytes"))
+    s = s.where("seq is not null")
     first = s.groupBy(*side).agg(F.min_by("seq", "number").alias("seq0"))
     half, wrap = F.lit(2**31), F.lit(2**32)
     s = s.join(first, side).withColumn("at", F.pmod(F.col("seq") - F.col("seq0") + half, wrap) - half)
-    s = s.withColumn("end", F.col("at") + F.length("payload"))
-    w = Window.partitionBy(*side).orderBy("at", "number").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("done", F.coalesce(F.max("end").over(w), F.col("at"))).where("end > done")
+    s = s.withColumn("end", F.col("at") + F.length("payload")).withColumn("block", F.shiftright("at", SEQUENCE_BLOCK.bit_length() - 1))
+    reach = s.groupBy(*side, "block").agg(F.max("end").alias("reach"))
+    reach = reach.select(*side, "block", F.max("reach").over(Window.partitionBy(*side).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    w = Window.partitionBy(*side, "block").orderBy("at", "number").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.join(reach, [*side, "block"]).withColumn("done", F.coalesce(F.greatest(F.max("end").over(w), "before"), F.col("at"))).where("end > done")
     skip = F.greatest(F.col("done") - F.col("at"), F.lit(0))
-    return s.select(*side, "number", F.greatest(F.col("at") - F.col("done"), F.lit(0)).alias("gap"), F.substring("payload", (skip + 1).cast("int"), F.lit(2**31 - 1)).alias("bytes"))
+    new = s.select(*side, "number", F.greatest(F.col("at") - F.col("done"), F.lit(0)).alias("gap"), F.substring("payload", (skip + 1).cast("int"), F.lit(2**31 - 1)).alias("bytes"))
+    return new.unionByName(plain)
 
 
 def payloads(frames: DataFrame) -> DataFrame:
@@ -272,6 +298,25 @@ def payloads(frames: DataFrame) -> DataFrame:
     return frames.where(p.isNotNull()).select("capture_id", "stream_id", F.struct("src", F.coalesce(pick("tcp.srcport"), pick("udp.srcport"))["u"].alias("port")).alias("side"), "number", pick("tcp.seq")["u"].alias("seq"), F.substring(F.get("sources", p["source"]), p["start"] + 1, p["end"] - p["start"]).alias("payload"))
 
 
+def transcript(segments: DataFrame) -> DataFrame:
+    """follow() with direction: 0 for the side that sent the stream's first payload, 1 for the other."""
+    first = segments.where(F.length("payload") > 0).groupBy("capture_id", "stream_id").agg(F.min_by("side", "number").alias("__first"))
+    out = follow(segments).join(first, ["capture_id", "stream_id"])
+    return out.withColumn("direction", (F.col("side") != F.col("__first")).cast("int")).drop("__first")
+
+
+def transcript_order(t: DataFrame) -> DataFrame:
+    """Both directions, interleaved by the frames that their runs come from."""
+    return t.orderBy("capture_id", "stream_id", "number")
+
+
+def transcript_totals(segments: DataFrame, t: DataFrame) -> DataFrame:
+    """capture_id, stream_id, direction, frames and payload (as captured), bytes (as put together), missing."""
+    got = t.groupBy("capture_id", "stream_id", "side", "direction").agg(F.sum(F.length("bytes")).cast("bigint").alias("bytes"), F.sum("gap").cast("bigint").alias("missing"))
+    seen = segments.where(F.length("payload") > 0).groupBy("capture_id", "stream_id", "side").agg(F.count("*").alias("frames"), F.sum(F.length("payload")).cast("bigint").alias("payload"))
+    return seen.join(got, ["capture_id", "stream_id", "side"]).drop("side")
+
+
 def renumbered(frames: DataFrame, order: str = "number") -> DataFrame:
     """Numbers 1, 2, ... per capture in the given order, without gaps; counts per block, then ranks within blocks."""
     f = frames.withColumn("__block", F.expr(f"{order} div {BLOCK}"))

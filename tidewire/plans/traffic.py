@@ -214,11 +214,11 @@ def store_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def anti_displayed(spark: SparkSession, folder: str) -> DataFrame:
     raw = event_frames(spark, folder)
-    return raw.join(displayed(raw, "udp.dstport == 9000").select("number"), "number", "left_anti").select("number")
+    return raw.join(displayed(raw, "udp.dstport == 9000").select("capture_id", "number"), ["capture_id", "number"], "left_anti").select("number")
 
 
 def export_marked(spark: SparkSession, folder: str) -> DataFrame:
-    marks = table(spark, folder, "events").where("value > 100").select((F.col("event_id") + 1).alias("number"))
+    marks = table(spark, folder, "events").where("value > 100").select(F.lit(CAPTURE).alias("capture_id"), (F.col("event_id") + 1).alias("number"))
     return reports.exported(event_frames(spark, folder), "marked", marks=marks).select("number", F.hex("bytes").alias("frame"))
 
 

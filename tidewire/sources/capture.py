@@ -12,6 +12,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -110,8 +111,22 @@ def describe(spark: SparkSession, path: str) -> DataFrame:
     return paths.repartition(max(paths.count(), 1)).mapInArrow(run, INFO)
 
 
-def save(frames: DataFrame, folder: str, kind: str = "pcapng", interfaces: DataFrame | None = None) -> DataFrame:
-    """Writes each capture_id to its own file in a shared folder; a row per file: path, frames, bytes, format, precision, notes.
+_EXTENSIONS = r"\.(pcap|pcapng|cap)$"
+
+
+def file_names(captures: DataFrame) -> DataFrame:
+    """capture_id, file: the last part of each capture_id without a capture file's extension, made unlike by a hash of the
+    whole capture_id where several captures share it (compared without case)."""
+    plain = F.regexp_replace(F.element_at(F.split(F.coalesce("capture_id", F.lit("")), "[/\\\\]"), -1), f"(?i){_EXTENSIONS}", "")
+    c = captures.select("capture_id").distinct().withColumn("file", F.when(plain.isin("", ".", ".."), F.lit("capture")).otherwise(plain))
+    many = c.groupBy(F.lower("file").alias("same")).agg(F.count("*").alias("n")).where("n > 1")
+    c = c.join(many, F.lower("file") == F.col("same"), "left")
+    return c.select("capture_id", F.when(F.col("n").isNotNull(), F.concat_ws("-", "file", F.substring(F.sha2(F.coalesce("capture_id", F.lit("")), 256), 1, 12))).otherwise(F.col("file")).alias("file"))
+
+
+def save(frames: DataFrame, folder: str, kind: str = "pcapng", interfaces: DataFrame | None = None, overwrite: bool = False) -> DataFrame:
+    """Writes each capture_id to its own file in a shared folder; a row per file: capture_id, path, frames, bytes, format,
+    precision, notes. Files are named by file_names(); one that is there already is an error unless overwrite is set.
 
     Each file is written by one task, sorted by number, from a stream of sorted rows. pcap takes one link type: that of the
     first frame; frames of others are left out and noted. Its times are microseconds unless one of them needs nanoseconds.
@@ -121,12 +136,21 @@ def save(frames: DataFrame, folder: str, kind: str = "pcapng", interfaces: DataF
     first = frames.groupBy("capture_id").agg(F.min_by("link_type", "number").alias("first_link"), F.max(F.pmod("ts_ns", F.lit(1000)) != 0).alias("nanos"))
     links = frames.groupBy("capture_id", "link_type").agg(F.min("number").alias("n")).groupBy("capture_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "link_type"))), lambda x: x["link_type"]).alias("links"))
     known = {} if interfaces is None else {r.link_type: (r.name, r.description, r.snaplen) for r in interfaces.select("link_type", "name", "description", "snaplen").dropDuplicates(["link_type"]).collect()}
-    f = frames.select("capture_id", "number", "link_type", "ts_ns", "orig_len", "bytes").join(first, "capture_id").join(links, "capture_id")
-    f = f.repartition("capture_id").sortWithinPartitions("capture_id", "number")
     target = _local(folder)
+    names = file_names(frames)
+    if not overwrite and (there := sorted(os.listdir(target))):
+        lost = names.where(F.concat("file", F.lit(f".{kind}")).isin(there)).take(1)
+        if lost:
+            raise FileExistsError(os.path.join(target, f"{lost[0].file}.{kind}"))
+    same = lambda other, columns: f.join(other.withColumnRenamed("capture_id", "__c"), F.col("capture_id").eqNullSafe(F.col("__c"))).select(*f.columns, *columns)
+    f = frames.select("capture_id", "number", "link_type", "ts_ns", "orig_len", "bytes")
+    for other, columns in ((first, ("first_link", "nanos")), (links, ("links",)), (names, ("file",))):
+        f = same(other, columns)
+    f = f.repartition("capture_id").sortWithinPartitions("capture_id", "number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, out, report, done = None, None, None, []
+        at, out, report, done = (), None, None, []
+        attempt = TaskContext.get().taskAttemptId()
 
         def finish() -> None:
             if out is not None:
@@ -135,13 +159,12 @@ def save(frames: DataFrame, folder: str, kind: str = "pcapng", interfaces: DataF
                 done.append(report)
 
         for b in batches:
-            for capture, _, link, ts, orig, raw, first_link, nanos, all_links in zip(*(c.to_pylist() for c in b.columns)):
-                if capture != at:
+            for capture, _, link, ts, orig, raw, first_link, nanos, all_links, name in zip(*(c.to_pylist() for c in b.columns)):
+                if (capture,) != at:
                     finish()
-                    at, name = capture, os.path.basename(str(capture)).split(".")[0] or "capture"
-                    path = os.path.join(target, f"{name}.{kind}")
-                    out = open(f"{path}.{os.getpid()}.part", "wb")  # noqa: SIM115
-                    report = {"path": path, "frames": 0, "bytes": 0, "format": kind, "precision": "nanoseconds" if nanos or kind == "pcapng" else "microseconds", "notes": []}
+                    at, path = (capture,), os.path.join(target, f"{name}.{kind}")
+                    out = open(f"{path}.{attempt}.part", "wb")  # noqa: SIM115
+                    report = {"capture_id": capture, "path": path, "frames": 0, "bytes": 0, "format": kind, "precision": "nanoseconds" if nanos or kind == "pcapng" else "microseconds", "notes": []}
                     out.write(formats.pcap_header(first_link or 0, nanos) if kind == "pcap" else formats.pcapng_header(all_links, known))
                     skipped = 0
                 raw = raw or b""
@@ -154,7 +177,7 @@ def save(frames: DataFrame, folder: str, kind: str = "pcapng", interfaces: DataF
                 report["bytes"] += len(raw)
         finish()
         if done:
-            yield pa.RecordBatch.from_pylist(done, pa.schema([("path", pa.string()), ("frames", pa.int64()), ("bytes", pa.int64()), ("format", pa.string()), ("precision", pa.string()), ("notes", pa.list_(pa.string()))]))
+            yield pa.RecordBatch.from_pylist(done, pa.schema([("capture_id", pa.string()), ("path", pa.string()), ("frames", pa.int64()), ("bytes", pa.int64()), ("format", pa.string()), ("precision", pa.string()), ("notes", pa.list_(pa.string()))]))
 
-    report = "path string, frames bigint, bytes bigint, format string, precision string, notes array<string>"
+    report = "capture_id string, path string, frames bigint, bytes bigint, format string, precision string, notes array<string>"
     return frames.sparkSession.createDataFrame(f.mapInArrow(run, report).collect(), report)  # a row per file
