@@ -70,7 +70,7 @@ class _Window:
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(n), len(ok), [valid, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary())
 
 
-def _read(column: pa.Array, link: np.ndarray, want: set[str]) -> dict[str, pa.Array]:
+def read(column: pa.Array, link: np.ndarray, want: set[str]) -> dict[str, pa.Array]:
     """The wanted columns of a batch; link: -1 where it is not known."""
     w, out = _Window(column), {}
     every = np.ones(len(link), bool)
@@ -157,7 +157,7 @@ def _read(column: pa.Array, link: np.ndarray, want: set[str]) -> dict[str, pa.Ar
     return out
 
 
-def _type(name: str) -> T.DataType:
+def header_type(name: str) -> T.DataType:
     return T.BinaryType() if name in _ADDRESSES else T.BooleanType() if name in _FLAGS else T.LongType()
 
 
@@ -171,7 +171,7 @@ def headers(raw: DataFrame, want: Sequence[str] = COLUMNS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             link = b.column(link_at).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-            got = _read(b.column(at), link, set(want))
+            got = read(b.column(at), link, set(want))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(keep)), *(got[c] for c in want)], names=[*names, *want])
 
-    return raw.mapInArrow(run, T.StructType([*raw.schema.fields, *(T.StructField(c, _type(c)) for c in want)]))
+    return raw.mapInArrow(run, T.StructType([*raw.schema.fields, *(T.StructField(c, header_type(c)) for c in want)]))

@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.dissect import flow, layers
-from tidewire.dissect.headers import be, headers
+from tidewire.dissect.headers import be, header_type, headers, read
 from tidewire.dissect.layers import Options
 from tidewire.dissect.tree import COLUMNS
 
@@ -120,76 +121,135 @@ def _flow(x: layers.Context) -> tuple:
     return *ends, t.a[outer - 1], t.a[outer]
 
 
-def deep_frames(flat: DataFrame) -> DataFrame:
-    """RAW, whole and FLOW of the frames that headers() cannot tell all of. Fragments meet their datagram, in order of
+_PART = pa.struct([("frame", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
+_END = pa.struct([("addr", pa.binary()), ("v6", pa.bool_()), ("port", pa.int64())])
+_FLOW_KINDS = (_END, _END, pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+FLOW_COLUMNS = ("src_end", "dst_end", "flow_proto", "fresh", "net_src", "net_dst")
+_FRAGMENT = ("deep", "fragment", "ip_src", "ip_dst", "ip_id", "ip_proto", "ip_frag", "l3", "head", "l4_end")
+
+
+def reassembled(flat: DataFrame) -> DataFrame:
+    """RAW, whole and FLOW of the IPv4 fragments among the rows of headers(). Fragments meet their datagram, in order of
     number; whole is what reassembly says of each: STRUCT<state (whole, part, bad), value, why, parts>."""
-    key = F.when(F.col("fragment"), F.concat("ip_src", "ip_dst", be(F.col("ip_id"), 2), be(F.col("ip_proto"), 1))).otherwise(be(F.pmod(F.xxhash64("number"), F.lit(1 << 32)), 8))
-    payload = F.when(F.col("fragment"), F.expr("substring(bytes, cast(l3 + head + 1 as int), cast(greatest(l4_end - l3 - head, 0) as int))"))
-    f = flat.where("deep").select(*RAW, key.alias("__key"), F.when(F.col("fragment"), F.col("ip_frag")).alias("__frag"), payload.alias("__payload"))
+    key = F.concat("ip_src", "ip_dst", be(F.col("ip_id"), 2), be(F.col("ip_proto"), 1))
+    payload = F.expr("substring(bytes, cast(l3 + head + 1 as int), cast(greatest(l4_end - l3 - head, 0) as int))")
+    f = flat.where("fragment").select(*RAW, key.alias("__key"), F.col("ip_frag").alias("__frag"), payload.alias("__payload"))
     f = f.repartition("capture_id", "__key").sortWithinPartitions("capture_id", "__key", "number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.struct([("frame", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
-        end = pa.struct([("addr", pa.binary()), ("v6", pa.bool_()), ("port", pa.int64())])
-        kinds = (pa.struct([("state", pa.string()), ("value", pa.binary()), ("why", pa.string()), ("parts", pa.list_(part))]), end, end, pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+        kinds = (pa.struct([("state", pa.string()), ("value", pa.binary()), ("why", pa.string()), ("parts", pa.list_(_PART))]), *_FLOW_KINDS)
         at, state = None, flow.Fragments()
         for batch in batches:
             out = []
             for capture, number, link, ts, orig, raw, key, frag, payload in _rows(batch):
-                whole = None
-                if frag is not None:
-                    if (capture, key) != at:
-                        at, state = (capture, key), flow.Fragments()
-                    whole = state.add((frag & 0x1FFF) * 8, bool(frag & 0x2000), payload or b"", number or 0, ts or 0)
-                if whole is not None and whole[0] != "whole":
-                    ends = (None,) * 6  # no transport header can be read yet
-                else:
-                    ends = _flow(layers.frame(raw or b"", _link(link), number or 0, ts or 0, orig or 0, whole=whole))
-                if whole is not None:
-                    kind, value, parts = whole
-                    whole = {"state": kind, "value": value if kind == "whole" else None, "why": value if kind == "bad" else None, "parts": [dict(zip(("frame", "at", "size"), p)) for p in parts] if kind == "whole" else []}
-                out.append((whole, *ends))
+                if (capture, key) != at:
+                    at, state = (capture, key), flow.Fragments()
+                whole = state.add((frag & 0x1FFF) * 8, bool(frag & 0x2000), payload or b"", number or 0, ts or 0)
+                kind, value, parts = whole
+                # until the datagram is whole, no transport header can be read
+                ends = _flow(layers.frame(raw or b"", _link(link), number or 0, ts or 0, orig or 0, whole=whole)) if kind == "whole" else (None,) * 6
+                told = {"state": kind, "value": value if kind == "whole" else None, "why": value if kind == "bad" else None, "parts": [dict(zip(("frame", "at", "size"), p)) for p in parts] if kind == "whole" else []}
+                out.append((told, *ends))
             cols = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(RAW)], *cols], names=[*RAW, "whole", "src_end", "dst_end", "flow_proto", "fresh", "net_src", "net_dst"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(RAW)], *cols], names=[*RAW, "whole", *FLOW_COLUMNS])
 
     return f.mapInArrow(run, f"capture_id string, number bigint, link_type int, ts_ns bigint, orig_len bigint, bytes binary, whole {WHOLE}, {FLOW}")
 
 
 def with_wholes(raw: DataFrame) -> DataFrame:
     """RAW and whole: what reassembly says of each IPv4 fragment, null for other frames."""
-    flat = headers(raw.select(*RAW), ("deep", "fragment", "ip_src", "ip_dst", "ip_id", "ip_proto", "ip_frag", "l3", "head", "l4_end"))
+    flat = headers(raw.select(*RAW), _FRAGMENT)
     plain = flat.where(~F.col("fragment")).select(*RAW, F.lit(None).cast(WHOLE).alias("whole"))
-    return plain.unionByName(deep_frames(flat.where("fragment")).select(*RAW, "whole"))
+    return plain.unionByName(reassembled(flat).select(*RAW, "whole"))
+
+
+def deep_frames(flat: DataFrame) -> DataFrame:
+    """RAW and whole of the frames that headers() cannot tell all of: fragments with their datagram, and nested headers."""
+    nested = flat.where(F.col("deep") & ~F.col("fragment")).select(*RAW, F.lit(None).cast(WHOLE).alias("whole"))
+    return nested.unionByName(reassembled(flat).select(*RAW, "whole"))
+
+
+_PLAIN = ("deep", "fragment", "ip_src", "ip_dst", "ip6_src", "ip6_dst", "proto", "tcp_src", "tcp_dst", "udp_src", "udp_dst", "tcp_syn", "tcp_ackf")
 
 
-def with_flows(raw: DataFrame) -> DataFrame:
-    """RAW, whole (of fragments), src_end, dst_end, flow_proto, fresh: the stream endpoints of each frame, as the frame's
-    sender saw them; of an ICMP error those it quotes. net_src, net_dst: the frame's own addresses, of an ICMP error not the
-    quoted ones. Null where there is no TCP or UDP header under an IP header."""
-    flat = headers(raw.select(*RAW), ("deep", "fragment", "ip_src", "ip_dst", "ip6_src", "ip6_dst", "ip_id", "ip_proto", "ip_frag", "l3", "head", "l4_end", "proto", "tcp_src", "tcp_dst", "udp_src", "udp_dst", "tcp_syn", "tcp_ackf"))
+def _with_headers(raw: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """keep (of RAW), header columns and FLOW of raw in one pass; FLOW is null but for nested headers, which are dissected."""
+    at, link_at = RAW.index("bytes"), RAW.index("link_type")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            link = b.column(link_at).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+            got = read(b.column(at), link, set(_PLAIN))
+            nested = np.flatnonzero(got["deep"].to_numpy(zero_copy_only=False) & ~got["fragment"].to_numpy(zero_copy_only=False))
+            flows: list[list] = [[None] * b.num_rows for _ in FLOW_COLUMNS]
+            if len(nested):
+                for i, (_, number, link_type, ts, orig, raw_) in zip(nested.tolist(), _rows(b.take(pa.array(nested)))):
+                    for column, v in zip(flows, _flow(layers.frame(raw_ or b"", _link(link_type), number or 0, ts or 0, orig or 0))):
+                        column[i] = v
+            yield pa.RecordBatch.from_arrays([*(b.column(RAW.index(c)) for c in keep), *(got[c] for c in _PLAIN), *(pa.array(v, k) for v, k in zip(flows, _FLOW_KINDS))], names=[*keep, *_PLAIN, *FLOW_COLUMNS])
+
+    kinds = {f.name: f for f in raw.select(*RAW).schema.fields}
+    end = T.StructType([T.StructField("addr", T.BinaryType()), T.StructField("v6", T.BooleanType()), T.StructField("port", T.LongType())])
+    flow_types = (end, end, T.LongType(), T.BooleanType(), T.BinaryType(), T.BinaryType())
+    return raw.select(*RAW).mapInArrow(run, T.StructType([*(kinds[c] for c in keep), *(T.StructField(c, header_type(c)) for c in _PLAIN), *map(T.StructField, FLOW_COLUMNS, flow_types)]))
+
+
+def with_flows(raw: DataFrame, keep: tuple[str, ...] = RAW) -> DataFrame:
+    """keep (of RAW), whole (of fragments), src_end, dst_end, flow_proto, fresh: the stream endpoints of each frame, as the
+    frame's sender saw them; of an ICMP error those it quotes. net_src, net_dst: the frame's own addresses, of an ICMP error
+    not the quoted ones. Null where there is no TCP or UDP header under an IP header. One pass over the frames, and one that
+    looks for fragments only, which meet their datagram."""
+    flat = _with_headers(raw, keep)
     pad = lambda v4, v6: F.coalesce(F.concat(F.col(v4), F.lit(bytes(12))), F.col(v6))
     end = lambda side: F.struct(pad(f"ip_{side}", f"ip6_{side}").alias("addr"), F.col(f"ip6_{side}").isNotNull().alias("v6"), F.coalesce(f"tcp_{side}", f"udp_{side}").alias("port"))
     has = F.coalesce("tcp_src", "udp_src").isNotNull()
-    plain = flat.where(~F.col("deep")).select(*RAW, F.lit(None).cast(WHOLE).alias("whole"), F.when(has, end("src")).alias("src_end"), F.when(has, end("dst")).alias("dst_end"), F.when(has, F.col("proto")).alias("flow_proto"), F.coalesce(F.col("tcp_syn") & ~F.col("tcp_ackf"), F.lit(False)).alias("fresh"), *(F.when(has, F.coalesce(f"ip_{side}", f"ip6_{side}")).alias(f"net_{side}") for side in ("src", "dst")))
-    return plain.unionByName(deep_frames(flat))
+    simple = {"src_end": F.when(has, end("src")), "dst_end": F.when(has, end("dst")), "flow_proto": F.when(has, F.col("proto")), "fresh": F.coalesce(F.col("tcp_syn") & ~F.col("tcp_ackf"), F.lit(False))}
+    simple |= {f"net_{side}": F.when(has, F.coalesce(f"ip_{side}", f"ip6_{side}")) for side in ("src", "dst")}
+    one = flat.where(~F.col("fragment")).select(*keep, F.lit(None).cast(WHOLE).alias("whole"), *(F.when(F.col("deep"), F.col(c)).otherwise(simple[c]).alias(c) for c in FLOW_COLUMNS))
+    parts = reassembled(headers(raw.select(*RAW), _FRAGMENT)).select(*keep, "whole", *FLOW_COLUMNS)
+    return one.unionByName(parts)
 
 
-def with_streams(flows: DataFrame) -> DataFrame:
-    """Adds lo, hi and stream_id: one count per capture for TCP and UDP, by first frame; a SYN without ACK on known endpoints begins a new stream."""
-    lo, hi = F.least("src_end", "dst_end"), F.greatest("src_end", "dst_end")
+def _keyed(flows: DataFrame) -> DataFrame:
     has = F.col("src_end").isNotNull()
-    f = flows.withColumns({"lo": F.when(has, lo), "hi": F.when(has, hi)})
-    key = ["capture_id", "lo", "hi", "flow_proto"]
-    w = Window.partitionBy(*key).orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    known = f.where(has).withColumn("seen", F.count("*").over(w)).withColumn("gen", F.sum(F.when(F.col("fresh") & (F.col("seen") > 1), 1).otherwise(0)).over(w)).drop("seen")
-    streams = known.groupBy(*key, "gen").agg(F.min("number").alias("first_number"))
-    s = streams.withColumn("block", F.expr(f"first_number div {BLOCK_FRAMES}"))
-    s = s.withColumn("r", F.row_number().over(Window.partitionBy("capture_id", "block").orderBy("first_number", *key[1:])))
+    return flows.withColumns({"lo": F.when(has, F.least("src_end", "dst_end")), "hi": F.when(has, F.greatest("src_end", "dst_end"))})
+
+
+KEY = ("capture_id", "lo", "hi", "flow_proto")
+
+
+def streams(keyed: DataFrame) -> DataFrame:
+    """KEY, first_number, stream_id of every stream: one count per capture for TCP and UDP, by first frame. keyed: KEY, number,
+    fresh. A key's first frame begins a stream, and so does each SYN without ACK after it; neither needs the frames of a key
+    together, so a key of any number of frames is spread evenly."""
+    k = keyed.where("lo is not null").select(*KEY, "number", "fresh")
+    # fresh frames are kept as they are, the others only by their key's first
+    begins = k.groupBy(*KEY, F.when(F.col("fresh"), F.col("number")).alias("at")).agg(F.min("number").alias("first_number"))
+    first = F.min("first_number").over(Window.partitionBy(*KEY))
+    begins = begins.withColumn("first", first).where((F.col("at").isNotNull()) | (F.col("first_number") == F.col("first"))).select(*KEY, "first_number")
+    return _numbered(begins, KEY[1:])
+
+
+def _numbered(begins: DataFrame, ties: tuple[str, ...]) -> DataFrame:
+    """Adds stream_id: the rank of first_number in its capture, by counts per block of frame numbers."""
+    s = begins.withColumn("block", F.expr(f"first_number div {BLOCK_FRAMES}"))
+    s = s.withColumn("r", F.row_number().over(Window.partitionBy("capture_id", "block").orderBy("first_number", *ties)))
+    top = s.groupBy("capture_id", "block").agg(F.max("r").alias("n"))
     before = Window.partitionBy("capture_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = s.groupBy("capture_id", "block").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    s = s.join(blocks.select("capture_id", "block", "base"), ["capture_id", "block"]).select(*key, "gen", (F.col("base") + F.col("r") - 1).alias("stream_id"))
-    got = known.join(s, [*key, "gen"]).select(*f.columns, "stream_id")
-    return got.unionByName(f.where(~has).withColumn("stream_id", F.lit(None).cast("bigint")))
+    base = top.select("capture_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return s.join(base, ["capture_id", "block"]).select(*begins.columns, (F.col("base") + F.col("r") - 1).alias("stream_id"))
+
+
+def with_streams(flows: DataFrame) -> DataFrame:
+    """Adds lo, hi and stream_id, as streams() numbers them, for flows without bytes: their rows are shuffled by key once, for
+    the streams and for the frames, and again by key and stream."""
+    f = _keyed(flows)
+    w = Window.partitionBy(*KEY).orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    known = f.where("lo is not null").withColumn("__seen", F.count("*").over(w))
+    known = known.withColumn("__gen", F.sum(F.when(F.col("fresh") & (F.col("__seen") > 1), 1).otherwise(0)).over(w)).drop("__seen")
+    s = _numbered(known.groupBy(*KEY, "__gen").agg(F.min("number").alias("first_number")), (*KEY[1:], "__gen"))
+    got = known.join(s.drop("first_number"), [*KEY, "__gen"]).select(*f.columns, "stream_id")
+    return got.unionByName(f.where("lo is null").withColumn("stream_id", F.lit(None).cast("bigint")))
 
 
 def dissect(raw: DataFrame, options: Options = Options(), keep: Iterable[str] | None = None) -> DataFrame:
@@ -200,23 +260,31 @@ def dissect(raw: DataFrame, options: Options = Options(), keep: Iterable[str] |
     as nodes, all by default.
     """
     keep = None if keep is None else frozenset(keep)
-    f = with_streams(with_flows(raw)).select(*RAW, "whole", "stream_id")
-    spread = F.coalesce("stream_id", -1 - F.pmod(F.xxhash64("number"), F.lit(4096)))
-    f = f.withColumn("__at", spread).repartition("capture_id", "__at").sortWithinPartitions("capture_id", "__at", "number")
+    f = _keyed(with_flows(raw)).select(*RAW, "whole", "lo", "hi", "flow_proto", F.lit(None).cast("bigint").alias("__begun"))
+    begun = streams(_keyed(with_flows(raw, ("capture_id", "number")))).select(*KEY, F.col("first_number").alias("number"), F.col("stream_id").alias("__begun"))
+    # a stream's row comes before its first frame: the bytes are shuffled once, to the task that sweeps their key
+    spread = F.when(F.col("lo").isNull(), F.pmod(F.xxhash64("number"), F.lit(4096)))
+    f = f.unionByName(begun, allowMissingColumns=True).withColumn("__spread", spread)
+    at = ["capture_id", "lo", "hi", "flow_proto", "__spread"]
+    f = f.repartition(*at).sortWithinPartitions(*at, "number", F.desc_nulls_last("__begun"))
+    f = f.select(*RAW, "whole", "__begun", F.col("lo").isNotNull().alias("__flow"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # trees hold no cycles
-        at, state = None, None
+        begun, state = None, None
         for whole in batches:
             for lo in range(0, whole.num_rows, BATCH_FRAMES):
-                rows, made, ids = list(_rows(whole.slice(lo, BATCH_FRAMES))), [], []
-                for r in rows:
-                    stream_id = r[7]
-                    if stream_id is not None and (r[0], stream_id) != at:
-                        at, state = (r[0], stream_id), flow.Stream()
-                    made.append(layers.frame(r[5] or b"", _link(r[2]), r[1] or 0, r[3] or 0, r[4] or 0, options, None if stream_id is None else state, stream_id, _whole(r[6])))
+                rows, made, ids = [], [], []
+                for r in _rows(whole.slice(lo, BATCH_FRAMES)):
+                    if r[7] is not None:
+                        begun, state = r[7], flow.Stream()
+                        continue
+                    stream_id = begun if r[8] else None
+                    rows.append(r)
+                    made.append(layers.frame(r[5] or b"", _link(r[2]), r[1] or 0, r[3] or 0, r[4] or 0, options, state if r[8] else None, stream_id, _whole(r[6])))
                     ids.append(stream_id)
-                yield _emit(rows, made, ids, keep)
+                if rows:
+                    yield _emit(rows, made, ids, keep)
 
     return f.mapInArrow(run, FRAME)
 

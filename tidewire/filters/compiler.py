@@ -123,6 +123,35 @@ def _flat(e) -> Column | None:
     return _balanced([_sure(_value(e.field, e.op, F.col(c), e.value)) for c in cols], lambda a, b: a | b)
 
 
+_RAW_COLUMNS = {"frame.number": "number", "frame.len": "orig_len", "frame.cap_len": None}
+
+
+def _of_table(e) -> Column | None:
+    """The predicate over the columns of RAW alone, where every field is a number of the frame itself; null numbers count as 0.
+    Comparisons of stored columns reach the scan."""
+    if isinstance(e, (And, Or)):
+        parts = [_of_table(p) for p in e.parts]
+        if any(p is None for p in parts):
+            return None
+        return _balanced(parts, (lambda a, b: a & b) if isinstance(e, And) else (lambda a, b: a | b))
+    if isinstance(e, Not):
+        p = _of_table(e.part)
+        return None if p is None else ~_sure(p)
+    if any(i not in _RAW_COLUMNS for i in e.field.ids):
+        return None
+    if isinstance(e, Present):
+        return F.lit(True)
+    if e.slice is not None or e.op in ("contains", "matches"):
+        return None
+    parts = []
+    for i in e.field.ids:
+        column = _RAW_COLUMNS[i]
+        x = F.length("bytes").cast("bigint") if column is None else F.col(column)
+        hit = _number(e.op, x, e.value)
+        parts.append(hit | x.isNull() if _OPS[e.op](0, e.value) else hit)
+    return _balanced(parts, lambda a, b: a | b)
+
+
 def flat_filter(text: str) -> Column | None:
     """The predicate over the columns of headers(), where it can be told from them; valid on rows that are not deep."""
     e = parse(text)
@@ -132,14 +161,16 @@ def flat_filter(text: str) -> Column | None:
 def displayed(raw: DataFrame, text: str, options: Options = Options()) -> DataFrame:
     """RAW rows that the filter selects.
 
-    Filters over header fields run in the JVM on the bytes, and only frames whose headers nest are dissected; others
-    dissect every frame, fragments with their datagram, and with the state of its flow where the filter asks for what
-    depends on other frames.
+    Filters over a frame's number and lengths are filters of the table and reach its scan. Those over header fields read
+    headers in Arrow batches, and only frames whose headers nest are dissected; others dissect every frame, fragments with
+    their datagram, and with the state of its flow where the filter asks for what depends on other frames.
     """
     e, flat = parse(text), flat_filter(text)
     raw = raw.select(*stage.RAW)
     if e is None:
         return raw
+    if (own := _of_table(e)) is not None:
+        return raw.where(own)
     if flat is not None and not any(n.startswith("frame.") for n in field_names(e)):
         h = headers(raw, {"deep", "fragment", "ip_src", "ip_dst", "ip_id", "ip_proto", "ip_frag", "l3", "head", "l4_end"} | {c for n in field_names(e) for c in (PROMOTED.get(n), PRESENT.get(n)) if c})
         plain = h.where(~F.col("deep") & flat).select(*stage.RAW)

@@ -38,7 +38,7 @@ def packets(raw: DataFrame, layer: str) -> DataFrame:
     completes one), behind any VLAN tags and in what an ICMP error quotes, with the frame's own addresses. Of eth and ip the
     outer headers count; IP behind more than two VLAN tags or LLC does not."""
     if layer in ("tcp", "udp"):
-        f = stage.with_flows(raw).drop("link_type", "bytes", "whole")
+        f = stage.with_flows(raw, ("capture_id", "number", "ts_ns", "orig_len")).drop("whole")
         f = stage.with_streams(f.where("src_end is not null")).where(F.col("flow_proto") == {"tcp": 6, "udp": 17}[layer])
         return f.select("capture_id", "number", "ts_ns", "orig_len", *(_end(F.col(f"net_{s}"), F.col(f"{s}_end.port")).alias(s) for s in ("src", "dst")), "stream_id")
     h = headers(raw, ("eth_src", "eth_dst") if layer == "eth" else ("ip_src", "ip_dst", "ip6_src", "ip6_dst"))
@@ -81,11 +81,11 @@ def hierarchy(frames: DataFrame) -> DataFrame:
     last = F.size("chain") == F.col("n")
     g = x.groupBy("capture_id", "chain").agg(F.count("*").alias("packets"), F.sum("orig_len").alias("bytes"), F.sum(F.when(last, 1).otherwise(0)).alias("end_packets"), F.sum(F.when(last, F.col("orig_len")).otherwise(0)).alias("end_bytes"), F.min("number").alias("first"))
     # paths are few: each looks its ancestors' first frames up, which order the walk
-    up = g.select("capture_id", F.col("chain").alias("anc"), F.struct(F.size("chain").alias("d"), F.col("first"), F.element_at("chain", -1).alias("p")).alias("step"))
-    ancestors = g.select("capture_id", "chain", F.explode(F.transform(F.sequence(F.lit(1), F.size("chain")), lambda i: F.slice("chain", 1, i))).alias("anc"))
-    walk = ancestors.join(up, ["capture_id", "anc"]).groupBy("capture_id", "chain").agg(F.transform(F.array_sort(F.collect_list("step")), lambda s: F.struct(s["first"], s["p"])).alias("order"))
-    out = g.join(walk, ["capture_id", "chain"])
-    return out.select("capture_id", F.array_join("chain", ":").alias("path"), F.size("chain").alias("depth"), "packets", "bytes", "end_packets", "end_bytes", "order")
+    cols = ["chain", "packets", "bytes", "end_packets", "end_bytes", "first"]
+    every = g.groupBy("capture_id").agg(F.collect_list(F.struct(*cols)).alias("all")).select("capture_id", "all", F.explode("all").alias("x"))
+    up = F.filter("all", lambda y: y["chain"] == F.slice(F.col("x.chain"), 1, F.size(y["chain"])))
+    order = F.transform(F.array_sort(F.transform(up, lambda y: F.struct(F.size(y["chain"]).alias("d"), y["first"].alias("first"), F.element_at(y["chain"], -1).alias("p")))), lambda s: F.struct(s["first"], s["p"]))
+    return every.select("capture_id", F.array_join("x.chain", ":").alias("path"), F.size("x.chain").alias("depth"), *(f"x.{c}" for c in cols[1:5]), order.alias("order"))
 
 
 def hierarchy_filter(path: str) -> str:
@@ -139,15 +139,18 @@ def finding_records(frames: DataFrame) -> DataFrame:
 
 
 def findings(records: DataFrame) -> DataFrame:
-    """field, summary, severity and grp of the first record, count, frames (the first SAMPLE numbers)."""
+    """field, summary, severity and grp of the first record, count, frames (the first SAMPLE numbers).
+
+    One pass: each block of frame numbers keeps its first numbers, a thousand blocks theirs, and those of all meet, so no
+    task sorts or holds all records of a finding."""
     key = ["capture_id", "field", "summary"]
-    g = records.groupBy(*key).agg(F.min_by(F.struct("severity", "grp"), F.struct("number", "idx")).alias("s"), F.count("*").alias("count"))
-    # the first numbers of each block, then of all blocks: no task sorts all records of a finding
-    part = records.withColumn("block", F.expr(f"number div {BLOCK}"))
-    pick = lambda d, cols: d.withColumn("r", F.row_number().over(Window.partitionBy(*cols).orderBy("number"))).where(F.col("r") <= SAMPLE).drop("r")
-    first = pick(pick(part.select(*key, "block", "number"), [*key, "block"]).drop("block"), key)
-    sample = first.groupBy(*key).agg(F.array_sort(F.collect_list("number")).alias("frames"))
-    return g.join(sample, key).select(*key, "s.severity", "s.grp", "count", "frames")
+    r = records.withColumn("block", F.expr(f"number div {BLOCK}"))
+    w = Window.partitionBy(*key, "block").orderBy("number", "idx")
+    r = r.withColumn("r", F.row_number().over(w))
+    r = r.groupBy(*key, "block").agg(F.min(F.struct("number", "idx", "severity", "grp")).alias("s"), F.count("*").alias("count"), F.collect_list(F.when(F.col("r") <= SAMPLE, F.col("number"))).alias("frames"))
+    for part in (F.expr("block div 1024"), F.lit(0)):
+        r = r.withColumn("block", part).groupBy(*key, "block").agg(F.min("s").alias("s"), F.sum("count").alias("count"), F.slice(F.array_sort(F.flatten(F.collect_list("frames"))), 1, SAMPLE).alias("frames"))
+    return r.select(*key, "s.severity", "s.grp", "count", "frames")
 
 
 def findings_order(f: DataFrame) -> DataFrame:

@@ -43,9 +43,10 @@ def key_percentiles(freq: DataFrame, keys: Sequence[str], value: str, fractions:
     wanted = wanted.withColumn("rank", F.greatest(F.ceil(F.col("fraction") * F.col("all")), F.lit(1)))
     hit = wanted.where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n"))).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("block").alias("__block"), "fraction", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
     cond = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("block") == F.col("__block")]
-    fine = f.withColumn("upto", F.sum("freq").over(Window.partitionBy(*keys, "block").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    got = fine.join(hit, cond).where("upto >= rank")
-    return got.groupBy(*keys, "fraction").agg(F.min(value).alias(value))
+    # only values of blocks that hold a percentile are cumulated, once for each percentile of theirs
+    fine = f.join(hit, cond).select(*keys, "block", value, "freq", "fraction", "rank")
+    fine = fine.withColumn("upto", F.sum("freq").over(Window.partitionBy(*keys, "block", "fraction").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    return fine.where("upto >= rank").groupBy(*keys, "fraction").agg(F.min(value).alias(value))
 
 
 def hot_keys(freq: DataFrame, keys: Sequence[str], share: float) -> DataFrame:

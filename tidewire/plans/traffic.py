@@ -176,7 +176,7 @@ def _graph(unit: str, interval: float, name: str):
 
 
 def stream_ids(spark: SparkSession, folder: str) -> DataFrame:
-    s = stage.with_streams(stage.with_flows(event_frames(spark, folder)))
+    s = stage.with_streams(stage.with_flows(event_frames(spark, folder), ("capture_id", "number")))
     return s.groupBy("stream_id").agg(F.min("number").alias("first_number"), F.count("*").alias("frames"))
 
 
