@@ -29,9 +29,11 @@ BATCH_FRAMES = 2000
 
 
 def as_raw(df: DataFrame, capture: str = "fixture") -> DataFrame:
-    """RAW columns of a table of frames; exact repetitions of a frame count once. Null bytes are empty, a null number 0."""
-    raw = df.select(F.col(capture).alias("capture_id"), "number", "link_type", "ts_ns", "orig_len", "bytes")
-    return raw.dropDuplicates(["capture_id", "number"])
+    """RAW columns of a table of frames; repetitions of a frame count once, and of rows that differ under one number the
+    smallest (time, link type, length, bytes) counts. Null bytes are empty, a null number 0."""
+    raw = df.select(F.col(capture).alias("capture_id"), "number", F.struct("ts_ns", "link_type", "orig_len", "bytes").alias("f"))
+    raw = raw.groupBy("capture_id", "number").agg(F.min("f").alias("f"))
+    return raw.select("capture_id", "number", "f.link_type", "f.ts_ns", "f.orig_len", "f.bytes")
 
 
 def _node_array(trees: list, keep: frozenset[str] | None) -> pa.Array:

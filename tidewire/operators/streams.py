@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewire.dissect import flow
 
 SEGMENT = ("capture_id", "stream", "generation", "frame", "ts_us", "side", "seq", "ack", "size", "win", "syn", "fin", "rst", "acks", "scale")
-OUT = "capture_id string, stream bigint, generation bigint, frame bigint, finding string, severity int, in_flight bigint"
+OUT = "capture_id string, stream string, generation bigint, frame bigint, finding string, severity int, in_flight bigint"
 
 
 def generations(s: DataFrame, key: list[str]) -> DataFrame:
@@ -22,7 +22,7 @@ def generations(s: DataFrame, key: list[str]) -> DataFrame:
 
 
 def analyse(segments: DataFrame) -> DataFrame:
-    """OUT: a row per finding. segments: SEGMENT columns; stream a number that tells a capture's streams apart, ts_us null
+    """OUT: a row per finding. segments: SEGMENT columns; stream a text that tells a capture's streams apart, ts_us null
     for no clock (counts as the stream's last time), null numbers count as 0, null flags as false.
 
     Segments are spread by stream, sorted by frame, and swept with the state of one stream at a time: memory does not grow
@@ -40,7 +40,7 @@ def analyse(segments: DataFrame) -> DataFrame:
                 seen = state.observe(state.side_of(side), frame, clock * 1000, seq or 0, ack or 0, size or 0, win or 0, bool(syn), bool(fin), bool(rst), bool(acks), scale)
                 out += [(*at, frame, n, flow.FINDINGS[n][0], seen.in_flight) for n in seen.names()]
             cols = list(zip(*out)) or [()] * 7
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64())
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["capture_id", "stream", "generation", "frame", "finding", "severity", "in_flight"])
 
     return s.mapInArrow(run, OUT)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.dissect import stage
@@ -15,11 +15,17 @@ from tidewire.sources.tables import table
 
 
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct segments with canonical keys."""
+    """Segments with canonical keys; repetitions count once, and of rows that differ under one number the smallest counts."""
     t = table(spark, folder, "stream_segment")
     us = epoch_us(t, "ts")
-    s = t.select(F.col("fixture").alias("capture_id"), "frame", F.when(us != 0, us).alias("ts_us"), *stream_key(F.col("lo"), F.col("hi"), F.col("proto")), "from_lo", F.col("lo.port").alias("stored_port"), F.col("lo.addr").alias("stored_addr"), "seq", "ack", F.col("payload_len").alias("size"), "win", F.coalesce("syn", F.lit(False)).alias("syn"), F.coalesce("fin", F.lit(False)).alias("fin"), F.coalesce("rst", F.lit(False)).alias("rst"), F.coalesce("ack_flag", F.lit(False)).alias("acks"), F.col("window_scale").alias("scale"), F.xxhash64(F.when(F.col("from_lo"), canonical_endpoint(F.col("lo"))).otherwise(canonical_endpoint(F.col("hi")))).alias("side"))
-    return s.dropDuplicates(["capture_id", "frame"])
+    s = t.select(F.col("fixture").alias("capture_id"), "frame", F.when(us != 0, us).alias("ts_us"), *stream_key(F.col("lo"), F.col("hi"), F.col("proto")), "seq", "ack", F.col("payload_len").alias("size"), "win", F.coalesce("syn", F.lit(False)).alias("syn"), F.coalesce("fin", F.lit(False)).alias("fin"), F.coalesce("rst", F.lit(False)).alias("rst"), F.coalesce("ack_flag", F.lit(False)).alias("acks"), F.col("window_scale").alias("scale"), F.xxhash64(F.when(F.col("from_lo"), canonical_endpoint(F.col("lo"))).otherwise(canonical_endpoint(F.col("hi")))).alias("side"))
+    rest = [c for c in s.columns if c not in ("capture_id", "frame")]
+    return s.groupBy("capture_id", "frame").agg(F.min(F.struct(*rest)).alias("s")).select("capture_id", "frame", "s.*")
+
+
+def _stream() -> Column:
+    """128 bits that tell a stream's whole key."""
+    return F.md5(F.concat_ws("|", *(F.coalesce(F.hex(c) if c.endswith("addr") else F.col(c).cast("string"), F.lit("-")) for c in KEY)).cast("binary"))
 
 
 def segment_findings(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,7 +33,7 @@ def segment_findings(spark: SparkSession, folder: str) -> DataFrame:
     a stream's rows hold one address in several forms."""
     s = _segments(spark, folder).where("proto = 6")
     g = streams.generations(s, ["capture_id", *KEY])
-    f = streams.analyse(g.withColumn("stream", F.xxhash64(*KEY)))
+    f = streams.analyse(g.withColumn("stream", _stream()))
     return f.groupBy("finding", "severity").agg(F.count("*").alias("segments"), F.count_distinct("capture_id", "stream", "generation").alias("streams"))
 
 
