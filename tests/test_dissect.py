@@ -107,30 +107,50 @@ def test_every_truncation_and_corruption_is_total():
 MS = 10**6
 
 
-def test_sequence_analysis():
-    s, at = flow.Stream(), 0
-    say = lambda side, frame, ms, seq, ack=0, n=0, win=8192, **f: s.observe(side, frame, ms * MS, seq, ack, n, win, **({"syn": False, "fin": False, "rst": False, "acks": True, "scale": None} | f))
-    assert say(0, 1, at, 1000, syn=True, acks=False).names() == []
-    say(1, 2, 1, 5000, 1001, syn=True)
-    say(0, 3, 2, 1001, 5001)
-    assert say(0, 4, 10, 1001, 5001, 10).in_flight == 10
-    assert say(0, 5, 50, 1001, 5001, 10).names() == ["retransmission"]
-    say(1, 6, 60, 5001, 1011)
-    assert say(0, 7, 100, 1001, 5001, 10).names() == ["spurious_retransmission"]
-    assert say(0, 8, 110, 1021, 5001, 10).names() == ["lost_segment"]
-    assert say(0, 9, 111, 1011, 5001, 10).names() == ["out_of_order"]
-    assert say(0, 10, 120, 1041, 5001, 10).names() == ["lost_segment"]
-    say(1, 11, 130, 5001, 1031)
-    for k in (1, 2, 3):
-        d = say(1, 11 + k, 130 + k, 5001, 1031)
-        assert d.names() == ["duplicate_ack"] and (d.ack_number, d.ack_frame) == (k, 11)
-    assert say(0, 15, 140, 1031, 5001, 10).names() == ["fast_retransmission"]
-    assert say(0, 16, 150, 1046, 5001, 10).names() == ["overlap"]
-    assert say(1, 17, 160, 5001, 1056, win=0).names() == ["zero_window"]
-    assert say(0, 18, 170, 1055, 5001, 1).names() == ["keep_alive"]
-    say(1, 19, 180, 5001, 1056, win=10)
-    assert say(0, 20, 190, 1056, 5001, 10).names() == ["window_full"]
-    assert say(1, 21, 200, 5001, 9999).names() == ["ack_lost_segment"]
+class Talk:
+    """A stream in which either side says bytes at a time in milliseconds; answers what the analysis sees."""
+
+    def __init__(self, client=700, server=90_000):
+        self.stream, self.frame, self.next = flow.Stream(), 0, [client, server]
+
+    def say(self, side, ms, n=0, at=None, ack=None, win=4000, syn=False, fin=False, rst=False, acks=True, scale=None):
+        self.frame += 1
+        seq = self.next[side] if at is None else at
+        seen = self.stream.observe(side, self.frame, ms * MS, seq % 2**32, (self.next[1 - side] if ack is None else ack) % 2**32, n, win, syn, fin, rst, acks, scale)
+        if at is None:
+            self.next[side] = seq + n + syn + fin
+        return seen
+
+    def opened(self):
+        assert self.say(0, 0, syn=True, acks=False).names() == self.say(1, 1, syn=True).names() == self.say(0, 2).names() == []
+        return self
+
+
+@pytest.mark.parametrize("client", [700, 2**32 - 30])
+def test_sequence_analysis(client):
+    new = lambda: Talk(client).opened()
+    t = new()
+    start = t.next[0]
+    assert t.say(0, 20, 25).in_flight == 25 and t.say(0, 22, 25).in_flight == 50
+    assert t.say(0, 500, 25, at=start).names() == ["retransmission"] and t.say(0, 501, 25, at=start + 25).names() == ["retransmission"]
+    t.say(1, 520)
+    assert t.say(0, 530, 25, at=start).names() == ["spurious_retransmission"]
+    assert t.say(0, 540, 40, at=start + 30).names() == ["overlap"]
+
+    t = new()
+    start = t.next[0]
+    assert t.say(0, 30, 8, at=start + 16).names() == ["lost_segment"] and t.say(0, 32, 8, at=start + 8).names() == ["out_of_order"]
+    again = [t.say(1, 41 + i, ack=start) for i in range(3)]
+    assert [(x.names(), x.ack_number, x.ack_frame) for x in again] == [(["duplicate_ack"], i, 2) for i in (1, 2, 3)]
+    assert t.say(0, 50, 8, at=start).names() == ["fast_retransmission"] and t.say(0, 90, 8, at=start).names() == ["retransmission"]
+
+    t = new()
+    assert t.say(1, 5, win=0).names() == ["zero_window"] and t.say(1, 6, win=12).names() == []
+    assert t.say(0, 7, 5).names() == [] and t.say(0, 8, 7).names() == ["window_full"]
+    t.say(1, 9)
+    assert t.say(0, 60_000, 1, at=t.next[0] - 1).names() == ["keep_alive"]
+    assert t.say(1, 60_001, ack=t.next[0] + 77).names() == ["ack_lost_segment"]
+    assert t.say(0, 60_002, rst=True, win=0).names() == []
 
 
 def sequential(frames, capture="c"):
