@@ -9,6 +9,7 @@ from test_dissect import mixed_frames
 
 from compare import difference, views
 from tidewire.dissect import stage
+from tidewire.filters import flat_filter
 from tidewire.functions import text
 from tidewire.operators import reports
 from tidewire.plans import segments, traffic
@@ -113,11 +114,22 @@ def test_times_blocks_and_ring(spark, monkeypatch):
 
 def test_io_graph_and_series_errors(spark):
     df = spark.createDataFrame([("c", i + 1, t * 10**9, 100) for i, t in enumerate([10, 12, 9, 11, 15])] + [("e", 1, None, 1)], "capture_id string, number bigint, ts_ns bigint, orig_len bigint")
-    series, errors = reports.series_predicates([("a", ""), ("b", "nope ==")], lambda t: F.lit(True) if not t else traffic.flat_filter(t))
+    series, errors = reports.series_predicates([("a", ""), ("b", "nope ==")], lambda t: F.lit(True) if not t else flat_filter(t))
     got = {r.bucket: (r.a, r.b) for r in reports.io_graph(df, series, 2.0, "bits").collect()}
     assert got == {0: (800.0, 0.0), 1: (400.0, 0.0), 2: (400.0, 0.0)} and set(errors) == {"b"}
 
 
+def test_rules_of_any_field_over_nested_frames(spark):
+    """A rule that header columns cannot answer, and frames whose headers nest, are coloured and counted like the others."""
+    deep = P.eth(P.ip6(b"\x11\0\x01\x04\0\0\0\0" + P.udp(b"x", 7, 9003, bytes(16), bytes(15) + b"\1"), 0, bytes(16), bytes(15) + b"\1"), 0x86DD)
+    raw = spark.createDataFrame(P.rows([P.eth(P.ip(P.udp(b"hello", 5, 9001), 17)), deep, P.eth(P.ip(b"x", 99))]), P.RAW)
+    flat = [("a", "udp.dstport == 9003"), ("broken", "udp =="), ("b", "udp")]
+    assert {r.number: r.rule for r in reports.coloured(raw, flat).collect()} == {1: "b", 2: "a", 3: None}
+    assert {r.number: r.rule for r in reports.coloured(raw, [("text", 'data.data contains "hell"'), *flat]).collect()} == {1: "text", 2: "a", 3: None}
+    g, errors = reports.io_graph_of(raw, flat, 10.0)
+    assert [(r.a, r.b, r.broken) for r in g.collect()] == [(1.0, 2.0, 0.0)] and set(errors) == {"broken"}
+
+
 def test_search(frames):
     n = lambda d: sorted(r.number for r in d.select("number").collect())
     assert n(reports.find_text(frames, "who HAS")) == [14] and n(reports.find_text(frames, "example.com", "details")) == [11]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewire.dissect import stage
 from tidewire.dissect.headers import PRESENT, PROMOTED, headers
 from tidewire.dissect.layers import Options
-from tidewire.filters.language import And, Compare, Not, Or, Present, field_names, parse
+from tidewire.filters.language import And, Compare, FilterError, Not, Or, Present, field_names, parse
 
 #: fields that depend on other frames of the capture
 STATEFUL = ("tcp.stream", "udp.stream", "tcp.analysis", "ip.fragments", "ip.fragment", "ip.reassembled", "http", "tls", "_ws", "frame.protocols", "eth.trailer", "eth.padding", "data")
@@ -180,3 +181,32 @@ def displayed(raw: DataFrame, text: str, options: Options = Options()) -> DataFr
     frames = stage.dissect(raw, options, field_names(e)) if stateful else stage.dissect_stateless(stage.with_wholes(raw), options, field_names(e))
     return frames.where(compile_filter(text)).select(*stage.RAW)
 
+
+
+def evaluated(raw: DataFrame, texts: Sequence[tuple[str, str]], options: Options = Options()) -> tuple[DataFrame, dict[str, str]]:
+    """RAW and a BOOLEAN column for each (name, filter), and the errors of the filters that do not compile; these are false.
+
+    Where header columns can answer all of them, only frames whose headers nest are dissected, else every frame."""
+    parsed, errors = {}, {}
+    for name, text in texts:
+        try:
+            parsed[name] = (text, parse(text))
+        except FilterError as e:
+            errors[name] = str(e)
+    known = [(name, text, e) for name, (text, e) in parsed.items() if e is not None]
+    fields = {n for _, _, e in known for n in field_names(e)}
+    raw = raw.select(*stage.RAW)
+    fast = {name: F.lit(True) for name in parsed}
+    for name, text, e in known:
+        own = _of_table(e)
+        fast[name] = own if own is not None else None if any(n.startswith("frame.") for n in field_names(e)) else _flat(e)
+    columns = lambda of: [(F.lit(False) if name in errors else of(name)).alias(name) for name, _ in texts]
+    tree = lambda name: compile_filter(parsed[name][0])
+    if all(c is not None for c in fast.values()):
+        h = headers(raw, {*stage._FRAGMENT} | {c for n in fields for c in (PROMOTED.get(n), PRESENT.get(n)) if c})
+        plain = h.where(~F.col("deep")).select(*stage.RAW, *columns(fast.get))
+        deep = stage.dissect_stateless(stage.deep_frames(h), options, fields).select(*stage.RAW, *columns(tree))
+        return plain.unionByName(deep), errors
+    stateful = any(n == s or n.startswith(f"{s}.") for n in fields for s in STATEFUL)
+    frames = stage.dissect(raw, options, fields) if stateful else stage.dissect_stateless(stage.with_wholes(raw), options, fields)
+    return frames.select(*stage.RAW, *columns(tree)), errors

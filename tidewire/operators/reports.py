@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewire.dissect import labels, stage
 from tidewire.dissect.headers import headers
-from tidewire.filters.compiler import compile_filter
+from tidewire.filters.compiler import compile_filter, evaluated
 from tidewire.filters.language import FilterError
 from tidewire.functions.text import addr_text
 
@@ -111,12 +111,13 @@ def series_predicates(series: Sequence[tuple[str, str]], build=compile_filter) -
     return out, errors
 
 
-def io_graph(frames: DataFrame, series: Sequence[tuple[str, Column]], interval: float, unit: str = "packets") -> DataFrame:
+def io_graph(frames: DataFrame, series: Sequence[tuple[str, Column]], interval: float, unit: str = "packets", times: DataFrame | None = None) -> DataFrame:
     """capture_id, bucket, one DOUBLE column per series: sums over buckets of interval seconds since the first frame in
     capture order; all buckets up to the last frame's (at most MOST_BUCKETS) have a row. Frames before the start or past the
-    last bucket do not count. unit: packets, bytes or bits (per second)."""
+    last bucket do not count. unit: packets, bytes or bits (per second). times: the same frames' capture_id, number and ts_ns,
+    from a cheaper source than frames."""
     step = max(interval, 1e-6)
-    span = frames.groupBy("capture_id").agg(F.min_by("ts_ns", "number").alias("start"), F.max_by("ts_ns", "number").alias("stop"))
+    span = (frames if times is None else times).groupBy("capture_id").agg(F.min_by("ts_ns", "number").alias("start"), F.max_by("ts_ns", "number").alias("stop"))
     at = lambda t: F.floor(((F.col(t) - F.col("start")) / 1e9) / step)
     span = span.where("start is not null").withColumn("n", F.least(F.greatest(at("stop"), F.lit(0)) + 1, F.lit(MOST_BUCKETS)))
     value = {"packets": F.lit(1.0), "bytes": F.col("orig_len").cast("double"), "bits": F.col("orig_len") * 8 / step}[unit]
@@ -126,6 +127,14 @@ def io_graph(frames: DataFrame, series: Sequence[tuple[str, Column]], interval:
     return grid.join(sums, ["capture_id", "bucket"], "left").fillna(0.0, [name for name, _ in series])
 
 
+def io_graph_of(raw: DataFrame, series: Sequence[tuple[str, str]] = SERIES, interval: float = 1.0, unit: str = "packets") -> tuple[DataFrame, dict[str, str]]:
+    """io_graph() of raw frames for named filters, and the errors of those that do not compile; these count nothing."""
+    columns = [f"s{i}" for i in range(len(series))]
+    f, errors = evaluated(raw, [(c, text) for c, (_, text) in zip(columns, series)])
+    g = io_graph(f.select("capture_id", "number", "ts_ns", "orig_len", *columns), [(name, F.col(c)) for c, (name, _) in zip(columns, series)], interval, unit, raw)
+    return g, {series[int(c[1:])][0]: e for c, e in errors.items()}
+
+
 _NOT_FINDINGS = ("tcp.analysis.bytes_in_flight", "tcp.analysis.duplicate_ack_num", "tcp.analysis.duplicate_ack_frame")
 
 
@@ -170,6 +179,14 @@ def colour(rules: Sequence[tuple[str, str]] = COLOURS, build=compile_filter) ->
     return reduce(lambda acc, x: F.when(x[1], F.lit(x[0])).otherwise(acc), reversed(whens), F.lit(None).cast("string"))
 
 
+def coloured(raw: DataFrame, rules: Sequence[tuple[str, str]] = COLOURS) -> DataFrame:
+    """capture_id, number, rule: the first rule whose filter selects the frame, whatever the filter asks for; null if none does."""
+    columns = [f"r{i}" for i in range(len(rules))]
+    f, _ = evaluated(raw, [(c, text) for c, (_, text) in zip(columns, rules)])
+    rule = reduce(lambda acc, x: F.when(F.col(x[0]), F.lit(x[1][0])).otherwise(acc), reversed(list(zip(columns, rules))), F.lit(None).cast("string"))
+    return f.select("capture_id", "number", rule.alias("rule"))
+
+
 def with_times(frames: DataFrame) -> DataFrame:
     """Adds since_start_ns (from the capture's first frame) and delta_ns (from the frame before, in the rows as they are: of
     displayed frames the one displayed before). Blocks of frames hand their last time on; no window spans a capture."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewire.dissect import stage
 from tidewire.dissect.headers import be, headers
-from tidewire.filters.compiler import compile_filter, displayed, flat_filter
+from tidewire.filters.compiler import compile_filter, displayed
 from tidewire.functions import text
 from tidewire.functions.times import epoch_us
 from tidewire.operators import reports
@@ -168,8 +168,8 @@ def hierarchy_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 def _graph(unit: str, interval: float, name: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        series, _ = reports.series_predicates([("all_frames", ""), ("clicks", "udp.dstport == 9000"), ("broken", "udp.dstport ==")], flat_filter)
-        return reports.io_graph(headers(event_frames(spark, folder), ("udp_dst",)), series, interval, unit).drop("capture_id")
+        series = [("all_frames", ""), ("clicks", "udp.dstport == 9000"), ("broken", "udp.dstport ==")]
+        return reports.io_graph_of(event_frames(spark, folder), series, interval, unit)[0].drop("capture_id")
 
     query.__name__ = name
     return query
@@ -188,7 +188,12 @@ def follow_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def colour_claims(spark: SparkSession, folder: str) -> DataFrame:
     rules = [("broken", "udp.dstport =="), ("errors", "udp.dstport == 9001"), ("low", "ip.src == 10.0.0.0/26"), ("rest", "udp && ip.ttl == 64")]
-    return headers(event_frames(spark, folder), ("udp_src", "udp_dst", "ip_src", "ip_ttl")).select("number", reports.colour(rules, flat_filter).alias("rule"))
+    return reports.coloured(event_frames(spark, folder), rules).select("number", "rule")
+
+
+def default_colours(spark: SparkSession, folder: str) -> DataFrame:
+    """The default rules over queries and requests: messages, bad checksums and the rest of their segments."""
+    return reports.coloured(_small(spark, folder)).groupBy("rule").agg(F.count("*").alias("frames"))
 
 
 def find_next(spark: SparkSession, folder: str) -> DataFrame:
@@ -281,7 +286,7 @@ SELECT g.bucket, coalesce(sum(v), 0) AS all_frames, coalesce(sum(v) FILTER (t =
 
 GRAPHS = {"io_graph_packets": ("packets", 60.0), "io_graph_bytes": ("bytes", 600.0), "io_graph_bits": ("bits", 60.0)}
 QUERIES = {n: _numbers(f, n) for n, (f, _) in FILTERS.items()} | {n: _graph(u, i, n) for n, (u, i) in GRAPHS.items()}
-QUERIES |= {f.__name__: f for f in (frame_projection, tree_projection, conversations_eth, conversations_ip, conversations_udp, conversations_tcp, hierarchy, hierarchy_totals, stream_ids, follow_stream, colour_claims, find_next, find_prev_wrap, time_columns, ring_view, store_stats, anti_displayed, export_marked, dns_qry_name, http_host_uri, reassembly, frame_protocols, fixture_ports, expert_summary, checksum_status)}
+QUERIES |= {f.__name__: f for f in (frame_projection, tree_projection, conversations_eth, conversations_ip, conversations_udp, conversations_tcp, hierarchy, hierarchy_totals, stream_ids, follow_stream, colour_claims, default_colours, find_next, find_prev_wrap, time_columns, ring_view, store_stats, anti_displayed, export_marked, dns_qry_name, http_host_uri, reassembly, frame_protocols, fixture_ports, expert_summary, checksum_status)}
 
 _HTTP = "length('GET /part/' || p_partkey || ' HTTP/1.1' || ' Host: p' || p_partkey || '.example') + 5"
 _DNS = "54 + 4 + length('c' || c_custkey) + 1 + 9"
@@ -303,6 +308,7 @@ UNION ALL SELECT 'eth:ip:tcp', 3, 2 * c, b, c, b - e FROM x UNION ALL SELECT 'et
     "stream_ids": f"SELECT row_number() OVER (ORDER BY f) - 1 AS stream_id, f AS first_number, c AS frames FROM (SELECT min(event_id) + 1 AS f, count(*) AS c {_BY} GROUP BY user_id, t)",
     "follow_stream": "SELECT '0B' || printf('%06X', l_orderkey) AS stream_id, count(*) AS segments, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS size, CAST(0 AS BIGINT) AS missing FROM lineitem WHERE l_quantity > 0 GROUP BY l_orderkey",
     "colour_claims": f"SELECT {_N}, CASE WHEN {_T} = 1 THEN 'errors' WHEN user_id < 64 THEN 'low' ELSE 'rest' END AS rule FROM events",
+    "default_colours": "SELECT 'Bad checksum' AS rule, (SELECT 2 * count(*) FROM part) + 0 AS frames UNION ALL SELECT 'DNS', count(*) FROM customer",
     "find_next": f"SELECT coalesce(min(event_id + 1) FILTER (event_id + 1 > 100), min(event_id + 1)) AS number FROM events WHERE {_T} = 2",
     "find_prev_wrap": f"SELECT coalesce(max(event_id + 1) FILTER (event_id + 1 < 1), max(event_id + 1)) AS number FROM events WHERE {_T} = 2",
     "time_columns": f"""WITH e AS (SELECT event_id + 1 AS number, epoch_us(ts) * 1000 AS ns FROM events WHERE {_T} = 3), d AS (SELECT number, ns - first_value(ns) OVER w AS since_start_ns, coalesce(ns - lag(ns) OVER w, 0) AS delta_ns FROM e WINDOW w AS (ORDER BY number))
