@@ -119,6 +119,21 @@ def test_io_graph_and_series_errors(spark):
     assert got == {0: (800.0, 0.0), 1: (400.0, 0.0), 2: (400.0, 0.0)} and set(errors) == {"b"}
 
 
+def test_payload_views(spark):
+    b = bytes(range(60, 80)) + b"\r\n\t" + "é".encode() + b"\xff\x00"
+    df = spark.createDataFrame([(b,), (b"",), (None,)], "b binary")
+    got = [tuple(r) for r in df.select(*(text.payload_text(F.col("b"), v) for v in ("ascii", "utf8", "hex"))).collect()]
+    shown = "".join(chr(c) if 32 <= c < 127 or c in (10, 9, 13) else "." for c in b)
+    lines = ""
+    for i in range(0, len(b), 16):
+        row = b[i : i + 16]
+        pairs = [f"{c:02x} " for c in row] + ["   "] * (16 - len(row))
+        lines += f"{i:08x}  {''.join(pairs[:8])} {''.join(pairs[8:])} {''.join(chr(c) if 32 <= c < 127 else '.' for c in row)}\n"
+    assert got == [(shown, b.decode("utf-8", "replace"), lines), ("", "", ""), (None, None, None)]
+    with pytest.raises(ValueError):
+        text.payload_text(F.col("b"), "ebcdic")
+
+
 def test_rules_of_any_field_over_nested_frames(spark):
     """A rule that header columns cannot answer, and frames whose headers nest, are coloured and counted like the others."""
     deep = P.eth(P.ip6(b"\x11\0\x01\x04\0\0\0\0" + P.udp(b"x", 7, 9003, bytes(16), bytes(15) + b"\1"), 0, bytes(16), bytes(15) + b"\1"), 0x86DD)

@@ -40,6 +40,31 @@ def hex_line(b: Column, at: int, width: int = 16) -> Column:
     return F.concat(F.lit(f"{at:08x}  "), F.rpad(F.trim(F.regexp_replace(F.lower(F.hex(part)), "(..)", "$1 ")), 3 * width, " "), F.lit(" "), ascii_text(part))
 
 
+def hex_dump(b: Column) -> Column:
+    """All of the bytes, sixteen a line: offset, bytes with a wider gap after the eighth, printable ASCII; empty for none."""
+
+    def row(i: Column) -> Column:
+        part = F.substring(b, i * 16 + 1, F.lit(16))
+        pairs = F.regexp_replace(F.lower(F.hex(part)), "(..)", "$1 ")
+        half = lambda at: F.rpad(F.substring(pairs, at, 24), 24, " ")
+        return F.concat(F.lpad(F.lower(F.hex(i * 16)), 8, "0"), F.lit("  "), half(1), F.lit(" "), half(25), F.lit(" "), ascii_text(part), F.lit("\n"))
+
+    rows = F.transform(F.sequence(F.lit(0), F.greatest(F.call_function("div", F.length(b) - 1, F.lit(16)), F.lit(0)).cast("int")), row)
+    return F.when(F.length(b) > 0, F.array_join(rows, "")).when(b.isNotNull(), "")
+
+
+def payload_text(b: Column, view: str = "ascii") -> Column:
+    """Followed bytes as a reader sees them: ascii (line ends and tabs stay, what is not printable is a dot), hex (a dump) or utf8
+    (sequences that are not UTF-8 become U+FFFD)."""
+    if view == "ascii":
+        return F.regexp_replace(F.decode(b, "ISO-8859-1"), "[^\\x20-\\x7e\n\t\r]", ".")
+    if view == "utf8":
+        return F.make_valid_utf8(b.cast("string"))
+    if view == "hex":
+        return hex_dump(b)
+    raise ValueError("a view is ascii, hex or utf8")
+
+
 def byte_size(n: Column) -> Column:
     """Decimal units: 999 B, 1.5 kB, 2.0 MB."""
     out = F.concat(n.cast("string"), F.lit(" B"))

@@ -162,6 +162,11 @@ def findings(records: DataFrame) -> DataFrame:
     return r.select(*key, "s.severity", "s.grp", "count", "frames")
 
 
+def finding_filter(field: str) -> str:
+    """The display filter that selects every frame with a finding."""
+    return field
+
+
 def findings_order(f: DataFrame) -> DataFrame:
     return f.orderBy(F.desc("severity"), F.desc("count"), "field")
 
@@ -209,17 +214,29 @@ def utc_text(ns: Column) -> Column:
     return F.date_format(F.timestamp_micros(F.call_function("div", ns - F.pmod(ns, F.lit(1000)), F.lit(1000))), "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
+def _chunks(frames: DataFrame, most_frames: int, most_bytes: int) -> DataFrame:
+    """capture_id, __chunk, n, size, next, kept: chunks of frame numbers, and whether a bounded store still holds them."""
+    c = frames.withColumn("__chunk", F.expr(f"(number - 1) div {CHUNK_FRAMES}")).groupBy("capture_id", "__chunk").agg(F.count("*").alias("n"), F.sum(F.length("bytes")).alias("size"), (F.max("number") + 1).alias("next"))
+    w = Window.partitionBy("capture_id").orderBy(F.desc("__chunk"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    fits = (F.sum("n").over(upto) <= most_frames) & (F.sum("size").over(upto) <= most_bytes)
+    return c.withColumn("kept", (F.row_number().over(w) == 1) | fits)
+
+
 def ring(frames: DataFrame, most_frames: int = RING_FRAMES, most_bytes: int = RING_BYTES) -> DataFrame:
     """The frames a bounded store still holds: whole chunks are dropped from the front until both limits hold; the last
     chunk stays. Numbers are contiguous from 1."""
+    kept = _chunks(frames, most_frames, most_bytes).where("kept").select("capture_id", "__chunk")
     f = frames.withColumn("__chunk", F.expr(f"(number - 1) div {CHUNK_FRAMES}"))
-    c = f.groupBy("capture_id", "__chunk").agg(F.count("*").alias("n"), F.sum(F.length("bytes")).alias("size"))
-    w = Window.partitionBy("capture_id").orderBy(F.desc("__chunk")).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumns({"n": F.sum("n").over(w), "size": F.sum("size").over(w), "r": F.row_number().over(Window.partitionBy("capture_id").orderBy(F.desc("__chunk")))})
-    kept = c.where((F.col("r") == 1) | ((F.col("n") <= most_frames) & (F.col("size") <= most_bytes))).select("capture_id", "__chunk")
     return f.join(kept, ["capture_id", "__chunk"], "left_semi").drop("__chunk")
 
 
+def ring_stats(frames: DataFrame, most_frames: int = RING_FRAMES, most_bytes: int = RING_BYTES) -> DataFrame:
+    """capture_id, frames, bytes (held by the bounded store), evicted_frames, evicted_bytes, next_number."""
+    n = lambda c, kept: F.coalesce(F.sum(F.when(F.col("kept") == kept, F.col(c))), F.lit(0).cast("bigint"))
+    return _chunks(frames, most_frames, most_bytes).groupBy("capture_id").agg(n("n", True).alias("frames"), n("size", True).alias("bytes"), n("n", False).alias("evicted_frames"), n("size", False).alias("evicted_bytes"), F.max("next").alias("next_number"))
+
+
 def store_stats(frames: DataFrame) -> DataFrame:
     return frames.groupBy("capture_id").agg(F.count("*").alias("frames"), F.sum(F.length("bytes")).alias("bytes"), (F.max("number") + 1).alias("next_number"))
 

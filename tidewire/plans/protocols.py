@@ -247,7 +247,22 @@ def udp_port_total(spark: SparkSession, folder: str) -> DataFrame:
     return headers(event_frames(spark, folder), ("udp_dst", "udp_length")).groupBy("udp_dst").agg(F.count("*").alias("frames"), F.sum("udp_length").alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (vlan_tags, arp_requests, llc_snap, loopback_families, ipv6_extensions, icmp_quoted, ndp_targets, dhcp_options, tls_sni, malformed, checksums, padded, tcp_options, ip_header_fields, tcp_findings, tcp_severities, semi_displayed, follow_udp, find_in_list, find_in_details, udp_port_total)}
+def udp_header_fields(spark: SparkSession, folder: str) -> DataFrame:
+    from tidewire.dissect.headers import headers
+
+    h = headers(event_frames(spark, folder), ("udp_src", "udp_dst", "udp_length"))
+    return h.select("number", "udp_src", "udp_dst", "udp_length")
+
+
+def tcp_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Flags of the orders' segments, from header columns."""
+    from tidewire.dissect.headers import headers
+
+    h = headers(order_frames(spark, folder), ("tcp_flags", "tcp_psh", "tcp_ackf", "tcp_syn", "tcp_len"))
+    return h.groupBy("tcp_flags", "tcp_psh", "tcp_ackf", "tcp_syn").agg(F.count("*").alias("frames"), F.sum("tcp_len").alias("bytes"))
+
+
+QUERIES = {f.__name__: f for f in (vlan_tags, arp_requests, llc_snap, loopback_families, ipv6_extensions, icmp_quoted, ndp_targets, dhcp_options, tls_sni, malformed, checksums, padded, tcp_options, ip_header_fields, tcp_findings, tcp_severities, semi_displayed, follow_udp, find_in_list, find_in_details, udp_port_total, udp_header_fields, tcp_flags)}
 
 _C = "c_custkey AS number"
 _IP = "'{0}.' || (c_custkey // 65536 % 256) || '.' || (c_custkey // 256 % 256) || '.' || (c_custkey % 256)"
@@ -261,6 +276,8 @@ said AS (SELECT '_ws.checksum.bad' AS field, 4 AS severity, 1 AS grp, number FRO
 UNION ALL SELECT CASE WHEN size = 1 THEN 'tcp.analysis.keep_alive' ELSE 'tcp.analysis.retransmission' END, 2, 2, number FROM again)"""
 _TYPE = "list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1"
 ORACLE = {
+    "udp_header_fields": f"SELECT event_id + 1 AS number, CAST(20000 + user_id AS BIGINT) AS udp_src, CAST(9000 + {_TYPE} AS BIGINT) AS udp_dst, CAST(8 + octet_length(encode(props)) AS BIGINT) AS udp_length FROM events",
+    "tcp_flags": "SELECT CAST(24 AS BIGINT) AS tcp_flags, true AS tcp_psh, true AS tcp_ackf, false AS tcp_syn, count(*) AS frames, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS bytes FROM lineitem",
     "vlan_tags": f"SELECT {_C}, c_custkey % 4096 AS vlan, c_custkey % 8 AS priority, CAST(9000 AS BIGINT) AS port FROM customer",
     "arp_requests": f"SELECT {_C}, {_A} AS sender, {_B} AS target, CAST(1 AS BIGINT) AS opcode, 'arp' AS protocol, 'Who has ' || {_B} || '? Tell ' || {_A} AS info FROM customer",
     "llc_snap": f"SELECT {_C}, CAST(8 + 28 + 7 AS BIGINT) AS length, CAST(170 AS BIGINT) AS dsap, CAST(2048 AS BIGINT) AS type, c_custkey % 65536 AS ident, CAST(9001 AS BIGINT) AS port FROM customer",

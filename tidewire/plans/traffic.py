@@ -213,6 +213,11 @@ def ring_view(spark: SparkSession, folder: str) -> DataFrame:
     return reports.ring(event_frames(spark, folder), most_frames=5000).select("number")
 
 
+def ring_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """What a store of 5000 frames holds and has let go."""
+    return reports.ring_stats(event_frames(spark, folder), most_frames=5000).drop("capture_id")
+
+
 def store_stats(spark: SparkSession, folder: str) -> DataFrame:
     return reports.store_stats(event_frames(spark, folder)).drop("capture_id")
 
@@ -286,7 +291,7 @@ SELECT g.bucket, coalesce(sum(v), 0) AS all_frames, coalesce(sum(v) FILTER (t =
 
 GRAPHS = {"io_graph_packets": ("packets", 60.0), "io_graph_bytes": ("bytes", 600.0), "io_graph_bits": ("bits", 60.0)}
 QUERIES = {n: _numbers(f, n) for n, (f, _) in FILTERS.items()} | {n: _graph(u, i, n) for n, (u, i) in GRAPHS.items()}
-QUERIES |= {f.__name__: f for f in (frame_projection, tree_projection, conversations_eth, conversations_ip, conversations_udp, conversations_tcp, hierarchy, hierarchy_totals, stream_ids, follow_stream, colour_claims, default_colours, find_next, find_prev_wrap, time_columns, ring_view, store_stats, anti_displayed, export_marked, dns_qry_name, http_host_uri, reassembly, frame_protocols, fixture_ports, expert_summary, checksum_status)}
+QUERIES |= {f.__name__: f for f in (frame_projection, tree_projection, conversations_eth, conversations_ip, conversations_udp, conversations_tcp, hierarchy, hierarchy_totals, stream_ids, follow_stream, colour_claims, default_colours, find_next, find_prev_wrap, time_columns, ring_view, ring_stats, store_stats, anti_displayed, export_marked, dns_qry_name, http_host_uri, reassembly, frame_protocols, fixture_ports, expert_summary, checksum_status)}
 
 _HTTP = "length('GET /part/' || p_partkey || ' HTTP/1.1' || ' Host: p' || p_partkey || '.example') + 5"
 _DNS = "54 + 4 + length('c' || c_custkey) + 1 + 9"
@@ -314,6 +319,8 @@ UNION ALL SELECT 'eth:ip:tcp', 3, 2 * c, b, c, b - e FROM x UNION ALL SELECT 'et
     "time_columns": f"""WITH e AS (SELECT event_id + 1 AS number, epoch_us(ts) * 1000 AS ns FROM events WHERE {_T} = 3), d AS (SELECT number, ns - first_value(ns) OVER w AS since_start_ns, coalesce(ns - lag(ns) OVER w, 0) AS delta_ns FROM e WINDOW w AS (ORDER BY number))
 SELECT *, CASE WHEN delta_ns < 0 THEN '-' ELSE '' END || (abs(delta_ns) // 1000 // 1000000) || '.' || lpad(CAST(abs(delta_ns) // 1000 % 1000000 AS VARCHAR), 6, '0') AS delta FROM d""",
     "ring_view": f"WITH n AS (SELECT count(*) AS n FROM events) SELECT {_N} FROM events, n WHERE event_id // 4096 >= least(CAST(ceil(greatest(n - 5000, 0) / 4096) AS BIGINT), CAST(ceil(n / 4096) AS BIGINT) - 1)",
+    "ring_stats": f"""WITH n AS (SELECT count(*) AS n FROM events), e AS (SELECT 42 + {_P} AS size, event_id, event_id // 4096 >= least(CAST(ceil(greatest(n - 5000, 0) / 4096) AS BIGINT), CAST(ceil(n / 4096) AS BIGINT) - 1) AS kept FROM events, n)
+SELECT count(*) FILTER (kept) AS frames, CAST(sum(size) FILTER (kept) AS BIGINT) AS bytes, count(*) FILTER (NOT kept) AS evicted_frames, CAST(coalesce(sum(size) FILTER (NOT kept), 0) AS BIGINT) AS evicted_bytes, max(event_id) + 2 AS next_number FROM e""",
     "store_stats": f"SELECT count(*) AS frames, CAST(sum(n) AS BIGINT) AS bytes, max(event_id) + 2 AS next_number {_BY}",
     "anti_displayed": f"SELECT {_N} FROM events WHERE {_T} <> 0",
     "export_marked": f"""SELECT {_N}, '0200000000010200' || a || '08004500' || printf('%04X', 28 + {_P}) || printf('%04X', event_id % 65536) || '400040110000' || a || '0A0100' || printf('%02X', {_T}) || printf('%04X', 20000 + user_id) || printf('%04X', 9000 + {_T}) || printf('%04X', 8 + {_P}) || '0000' || hex(encode(props)) AS frame

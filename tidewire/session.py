@@ -25,7 +25,8 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "tidewi
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's setting, else (local runs only) a folder under the warehouse."""
+    """The shared folder for cut lineage: the session's setting, else (local
+    masters only) a folder of the machine's temporary folder."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
