@@ -138,6 +138,16 @@ def test_series_passes_through_readings(spark):
     assert got == {0: ("read", 5.0), 1: ("filled", 10.0), 2: ("read", 5.0)}
 
 
+def test_series_of_long_fragments(spark, monkeypatch):
+    """A fragment longer than a row takes, over several shards, and again shifted by half a step."""
+    monkeypatch.setattr(grid, "READINGS_A_ROW", 7)
+    values = [float(i % 13) for i in range(500)]
+    lines = spark.createDataFrame([(1, 0, T0 + dt.timedelta(seconds=3), values), (1, 0, T0 + dt.timedelta(seconds=3.5), values), (1, 0, T0, [])], "graph_id bigint, line_no int, ts timestamp_ntz, points array<double>")
+    graphs = spark.createDataFrame([(1, 1.0, T0, 600, ["a"])], "graph_id bigint, graph_interval double, graph_start timestamp_ntz, buckets bigint, series array<string>")
+    got = {r.bucket: (r.n_readings, r.value, r.status) for r in grid.regular_series(lines, graphs, shard_buckets=64).collect()}
+    assert got == {b: (2, values[b - 3], "read") if 3 <= b < 503 else (0, None, "absent") for b in range(600)}
+
+
 def test_series_of_one_hot_shard(spark, monkeypatch):
     """One shard's rows from many tasks, more than are held at a time."""
     n = 200_000

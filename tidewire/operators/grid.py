@@ -23,6 +23,7 @@ LINE = ("graph_id", "line_no")
 STATUS = ("absent", "read", "filled")
 HELD = 1 << 19  # readings and buckets worked on side by side
 SHARDS_A_ROW = 4096
+READINGS_A_ROW = 512  # longer fragments and shards come in several rows, as Arrow batches are counted in rows
 
 
 def grids(graphs: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def _expand(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _combined(batch: pa.RecordBatch, shard: int, halo: int) -> pa.RecordBatch:
-    """A row per line and shard of the batch: its instants with the sums and numbers of their readings.
+    """A row or more per line and shard of the batch: its instants with the sums and numbers of their readings.
 
     batch: graph_id, line_no, at (us since the graph's start), step_us, buckets, points."""
     graph = batch.column(0).dictionary_encode()
@@ -83,6 +84,8 @@ def _combined(batch: pa.RecordBatch, shard: int, halo: int) -> pa.RecordBatch:
     v = np.add.reduceat(v, first) if len(first) else v
     row, t, s = row[first], t[first], s[first]
     head = _runs(key[row], line[row], s)
+    group, place = _expand(np.diff(np.r_[head, len(t)]))
+    head = _runs(group, place // READINGS_A_ROW)
     bounds = pa.array(np.r_[head, len(t)].astype(np.int32))
     own = row[head]
     cols = [graph.dictionary.take(pa.array(key[own])), pa.array(line[own]), pa.array(s[head]), pa.array(step[own]), pa.array(buckets[own])]
@@ -188,7 +191,9 @@ def regular_series(lines: DataFrame, graphs: DataFrame, max_gap: int = 5, shard_
     grid, halo = grids(graphs), 2 * max_gap + 2
     f = lines.select("graph_id", F.col("line_no").cast("bigint").alias("line_no"), epoch_us(lines, "ts").alias("ts_us"), "points").where("ts_us is not null and points is not null")
     f = f.join(grid, "graph_id").where("line_no >= 0 and line_no < n_lines")
-    f = f.select(*LINE, (F.col("ts_us") - F.col("start_us")).alias("at"), "step_us", "buckets", "points")
+    part = F.explode(F.sequence(F.lit(0), F.greatest(F.size("points") - 1, F.lit(0)), F.lit(READINGS_A_ROW)))
+    f = f.select(*LINE, (F.col("ts_us") - F.col("start_us")).alias("at"), "step_us", "buckets", "points", part.alias("off"))
+    f = f.select(*LINE, (F.col("at") + F.col("off") * F.col("step_us")).alias("at"), "step_us", "buckets", F.slice("points", F.col("off") + 1, F.lit(READINGS_A_ROW)).alias("points"))
     key = grid.schema["graph_id"]
     long, many = T.LongType(), lambda k: T.ArrayType(k)
     shards = T.StructType([key, *(T.StructField(c, long) for c in _SHARD[1:5]), T.StructField("t", many(long)), T.StructField("total", many(T.DoubleType())), T.StructField("n", many(long))])
