@@ -16,7 +16,7 @@ from tidewire.dissect.headers import be
 from tidewire.filters.compiler import displayed
 from tidewire.functions import text
 from tidewire.operators import reports
-from tidewire.plans.traffic import _raw, event_frames, ipv4, order_frames, raw_hex, tcp, udp
+from tidewire.plans.traffic import _raw, event_frames, ipv4, order_frames, order_segments, raw_hex, segment_frames, tcp, udp
 from tidewire.sources.tables import table
 
 MACS = "020000000001 020000000002"
@@ -200,15 +200,15 @@ def ip_header_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 def _resent(spark: SparkSession, folder: str) -> DataFrame:
     """The orders' segments, and each order's first one again, late; it comes last in its stream."""
-    raw = order_frames(spark, folder)
-    first = raw.where("number % 8 = 1 and substring(bytes, 39, 4) = X'00000001'")  # its sequence number is the stream's first
-    return raw.unionByName(first.withColumns({"number": F.col("number") + (1 << 40), "ts_ns": F.col("ts_ns") + (1 << 40)}))
+    first = F.expr("(l_orderkey * 8 + l_linenumber) % 8 = 1 and seq = 1")
+    late = F.when(first, F.array(F.lit(0).cast("bigint"), F.lit(1 << 40))).otherwise(F.array(F.lit(0).cast("bigint")))
+    return segment_frames(order_segments(spark, folder).withColumn("late", F.explode(late)), F.col("late"))
 
 
 def tcp_findings(spark: SparkSession, folder: str) -> DataFrame:
     """Expert findings of streams in which a segment was sent again: findings, severities, frames and the first of them."""
-    r = reports.finding_records(stage.dissect(_resent(spark, folder)))
-    return reports.findings(r).select("field", "severity", "grp", F.col("count").alias("frames"), F.get("frames", F.lit(0)).alias("first_frame"), F.size("frames").alias("shown"))
+    r = reports.findings_of(_resent(spark, folder))
+    return r.select("field", "severity", "grp", F.col("count").alias("frames"), F.get("frames", F.lit(0)).alias("first_frame"), F.size("frames").alias("shown"))
 
 
 def tcp_severities(spark: SparkSession, folder: str) -> DataFrame:

@@ -52,17 +52,27 @@ def event_frames(spark: SparkSession, folder: str) -> DataFrame:
     return _raw(e, F.col("event_id") + 1, epoch_us(e, "ts") * 1000, frame)
 
 
-def order_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """number = 8 x l_orderkey + l_linenumber, a millisecond each; seq counts the order's bytes from 1."""
+def order_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """l_orderkey, l_linenumber, n (bytes of the line) and seq, which counts the order's bytes from 1."""
     from pyspark.sql import Window
 
     l = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return l.withColumn("seq", before + 1)
+
+
+def segment_frames(segments: DataFrame, later: Column | None = None) -> DataFrame:
+    """Frames of order_segments(): number = 8 x l_orderkey + l_linenumber, a millisecond each; later is added to both."""
     k = F.col("l_orderkey")
-    l = l.withColumn("seq", before + 1)
     frame = ipv4(F.concat(raw_hex("0b"), be(k, 3)), raw_hex("0a030001"), 6, tcp(20000 + F.pmod(k, F.lit(40000)), F.lit(7000), F.col("seq"), 0x18, F.encode(F.repeat(F.lit("x"), F.col("n")), "UTF-8")), k)
     number = k * 8 + F.col("l_linenumber")
-    return _raw(l, number, number.cast("bigint") * 1_000_000, frame)
+    ts_ns = number.cast("bigint") * 1_000_000
+    return _raw(segments, number if later is None else number + later, ts_ns if later is None else ts_ns + later, frame)
+
+
+def order_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """number = 8 x l_orderkey + l_linenumber, a millisecond each; seq counts the order's bytes from 1."""
+    return segment_frames(order_segments(spark, folder))
 
 
 def query_frames(spark: SparkSession, folder: str) -> DataFrame:
