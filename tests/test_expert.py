@@ -64,6 +64,7 @@ def same(spark, rows, parts):
     order = lambda f: sorted(map(tuple, f.collect()), key=repr)
     want = order(reports.findings(r))
     assert want and order(reports.findings_of(raw)) == want
+    assert order(reports.severity_counts_of(raw, 3)) == order(reports.severity_counts(r, 3))
     return {x[1] for x in want}
 
 
@@ -98,7 +99,7 @@ def test_no_trees_of_plain_frames(monkeypatch):
     assert [(x["field"], x["count"], x["frames"]) for x in got] == [("tcp.analysis.retransmission", 1, [61])]
 
 
-@pytest.mark.parametrize("name", ["tcp_findings"])
+@pytest.mark.parametrize("name", ["tcp_findings", "tcp_severities"])
 def test_frames_made_twice_at_most(spark, data, name):
     """The frames are read once for their headers and once for fragments."""
     plan = protocols.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()

@@ -186,6 +186,12 @@ def severity_counts(records: DataFrame, least: int = 1) -> DataFrame:
     return records.where(F.col("severity") >= least).groupBy("capture_id").agg(n(4).alias("errors"), n(3).alias("warnings"), n(2).alias("notes"), n(1).alias("chats"))
 
 
+def severity_counts_of(raw: DataFrame, least: int = 1) -> DataFrame:
+    """severity_counts() of dissect(raw), as findings_of()."""
+    n = lambda v: F.sum(F.when(F.col("severity") == v, F.col("count")).otherwise(0))
+    return expert.totals(raw).where(F.col("severity") >= least).groupBy("capture_id").agg(n(4).alias("errors"), n(3).alias("warnings"), n(2).alias("notes"), n(1).alias("chats"))
+
+
 def colour(rules: Sequence[tuple[str, str]] = COLOURS, build=compile_filter) -> Column:
     """The first rule whose filter selects the frame, null if none does; rules that do not compile claim nothing."""
     pairs, _ = series_predicates(rules, build)

@@ -212,7 +212,7 @@ def tcp_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tcp_severities(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.severity_counts(reports.finding_records(stage.dissect(_resent(spark, folder)))).drop("capture_id")
+    return reports.severity_counts_of(_resent(spark, folder)).drop("capture_id")
 
 
 def semi_displayed(spark: SparkSession, folder: str) -> DataFrame:
